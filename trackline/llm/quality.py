@@ -37,7 +37,7 @@ RULES = (
     Rule(2, "symbols", "n_symbols * 10 > n_words"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 20 * n_words"),
-    Rule(5, "repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule(5, "repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines"),
 )
 #: Policy versions by name; a version is never edited, a new one is added.
 POLICIES = {
