@@ -97,32 +97,38 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     return labels
 
 
-def linked_groups(members: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+def linked_groups(members: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
     """Components of the items that share a bucket and are verified to be alike.
 
-    members: bucket, item and a struct sig. near(x, y) is a cheap necessary condition on two sigs
-    (column names). verify(pairs a, b) returns the pairs that hold. All pairs of a bucket would grow
-    with its square, so the items of a bucket are first held against its smallest item only. Most
-    groups are then one component. What is left are pairs of items whose components differ; only for
-    these the bucket is joined with itself, with `near` inside the join, so that no link is lost.
+    members: bucket, item. sigs: item, sig (a struct). near(x, y) is a cheap necessary condition on two
+    columns of sigs. verify(pairs a, b) returns the pairs that hold. All pairs of a bucket would grow with
+    its square, so the items of a bucket are first held against its smallest item only. Most groups are
+    then one component. What is left are pairs of items whose components differ; only for these a bucket
+    is joined with itself, with `near` inside the join, so that no link is lost.
     Returns node, component for the items that have a link.
     """
-    leaders = members.groupBy("bucket").agg(F.min(F.struct("item", "sig")).alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    leaders = leaders.select("bucket", F.col("lead.item").alias("b"), F.col("lead.sig").alias("sig_b"))
-    busy = materialise(members.join(leaders, "bucket").select("bucket", F.col("item").alias("a"), F.col("sig").alias("sig_a"), "b", "sig_b"), label)
-    star = busy.filter("a <> b").filter(near("sig_a", "sig_b")).select("a", "b").distinct()
+    leaders = members.groupBy("bucket").agg(F.min("item").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    busy = materialise(members.join(leaders, "bucket").select("bucket", F.col("item").alias("a"), "b"), label)
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        x, y = (sigs.select(F.col("item").alias(s), F.col("sig").alias(f"sig_{s}")) for s in "ab")
+        return pairs.join(x, "a").join(y, "b").filter(near("sig_a", "sig_b")).select("a", "b")
+
+    star = materialise(checked(busy.filter("a <> b").select("a", "b").distinct()), label)
     edges = materialise(verify(star), label)
     parts = connected(edges, label)
-    rest = busy.select("bucket", F.col("a").alias("item"), F.col("sig_a").alias("sig"))
-    rest = rest.join(parts, F.col("item") == F.col("node"), "left").select("bucket", "item", "sig", F.coalesce("component", "item").alias("part"))
+    rest = busy.select("bucket", F.col("a").alias("item"))
+    rest = rest.join(parts, F.col("item") == F.col("node"), "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
     open_ = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("bucket")
-    rest = materialise(rest.join(open_, "bucket"), label)
-    x, y = (rest.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("item", "sig", "part")]) for s in "xy")
-    on = [x["bucket"] == y["bucket"], F.col("item_x") < F.col("item_y"), F.col("part_x") != F.col("part_y"), near("sig_x", "sig_y")]
-    pairs = x.join(y, on).select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct()
-    more = materialise(verify(pairs), label)
+    rest = materialise(rest.join(open_, "bucket").join(sigs, "item").select("bucket", "item", "part", "sig"), label)
+    x, y = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("bucket", "item", "sig", "part")]) for s in "xy")
+    on = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("item_x") < F.col("item_y")) & (F.col("part_x") != F.col("part_y")) & near("sig_x", "sig_y")
+    more = materialise(x.join(y, on).select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct(), label)
     if not more.isEmpty():
-        discard(parts)
-        parts = connected(edges.union(more), label)
-    discard(busy, rest, edges, more)
+        held = materialise(verify(more), label)
+        if not held.isEmpty():
+            discard(parts)
+            parts = connected(edges.union(held), label)
+        discard(held)
+    discard(busy, star, rest, edges, more)
     return parts

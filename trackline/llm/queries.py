@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import quality, sharding
+from trackline.llm import archive, neardup, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -28,6 +28,21 @@ def op2_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+
+
+def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = archive.plan_records(table(spark, sf_dir, "pages"))
+    stored = archive.read_back(archive.normalise(archive.write_monolithic(records)), payloads=False)
+    return stored.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.remove_repeated(table(spark, sf_dir, "documents"), length=400, unit="bytes")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -54,5 +69,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_wo
 }
 
 
+ORACLE["op7_warc_normaliser"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND page_id < top THEN top END AS refers_to FROM m
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
