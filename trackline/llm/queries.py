@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, neardup, quality, sharding, suffixes
+from trackline.llm import archive, bpe, neardup, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -32,6 +32,19 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def public_vocabulary(name: str) -> str:
+    """The installed file of a public tokenizer; a parameter of the operators."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encode_documents(docs, public_vocabulary("byte_bpe_50k.json"), ids=False, digests=True)
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.plan_records(table(spark, sf_dir, "pages"))
     stored = archive.read_back(archive.normalise(archive.write_monolithic(records)), payloads=False)
