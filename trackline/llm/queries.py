@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, neardup, quality, sharding, suffixes
+from trackline.llm import archive, bpe, neardup, packing, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -45,6 +45,11 @@ def op5_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op6_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pieces_of(table(spark, sf_dir, "documents"), public_vocabulary("word_bpe_49k.json"))
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.plan_records(table(spark, sf_dir, "pages"))
     stored = archive.read_back(archive.normalise(archive.write_monolithic(records)), payloads=False)
