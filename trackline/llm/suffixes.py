@@ -5,12 +5,16 @@ and nothing else is asked. Most-significant-digit passes find these groups witho
 the digit that tells it from all others; a suffix alone in its group is dropped at that pass.
 
 1. The first digit is the window's least gram (by hash), read at its place in the window. Neighbouring
-   suffixes share it, so a run of suffixes is one row: first start, count, gram and a hash of all that the
-   run spans. Equal windows have equal least grams at equal places. Runs with a gram of their own are done.
-2. The second digit is the run's whole content. Runs that are equal throughout are repeated throughout, and
+   suffixes share it, so a run of suffixes is one row. Equal windows have equal least grams at equal places.
+   Runs with a gram of their own are done.
+2. The second digit is all that the run spans. Runs that are equal throughout are repeated throughout, and
    one stands for all: copies and shared passages end here, whatever their number.
-3. Only runs that share a gram but not their content are spread out into suffixes; the third digit is the
-   hash of the threshold window. Groups of two or more are exactly the repeated windows left.
+3. Only runs that share a gram but not their content go deeper. They are cut into stretches of 32, then 4,
+   then single suffixes. A stretch whose common core no other run has is dropped; stretches that agree in
+   all they span are repeated throughout and are represented by one; the rest is cut again. Groups of two
+   or more single suffixes are exactly the repeated windows left.
+
+The texts are written once, bucketed by row, so that each pass meets them without another shuffle.
 
 Digits after the first are 64-bit hashes, compared only within one gram and place, that is within another
 64 bits. Each pass is an aggregation with partial sums, so one passage in a third of all rows is no burden.
@@ -26,6 +30,7 @@ columns are not carried. A text is handled whole: memory in a task follows the l
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,8 +38,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trackline.llm.common import materialise
-from trackline.llm.neardup import _mix, _words
+from trackline.llm.common import discard, materialise, shared_folder
+from trackline.llm.neardup import _MIX, _mix, _words
 
 #: Symbols that one block of arrays holds, but for a longer text.
 BLOCK = 1 << 19
@@ -43,7 +48,6 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(11).integers(1, (1 << 64) - 1, 256, dtype=np.uint64)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_KEY = ["g", "c", "e0", "n"]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -131,66 +135,92 @@ def _encoded(text: str | None) -> bytes:
     return (text or "").encode("utf-8")
 
 
-def repeated_starts(docs: DataFrame, doc_id: str, text: str, length: int, unit: str, gram: int | None = None) -> DataFrame:
-    """key, spans: for each text (by its md5) that holds repeated windows, their starts.
+def bucketed(docs: DataFrame, doc_id: str, text: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The rows with a row key `rid`, in a table in the shared folder that is bucketed by it."""
+    spark = docs.sparkSession
+    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.xxhash64(F.col(doc_id), F.md5(raw)).alias("rid"), F.col(doc_id).alias("doc_id"), raw.alias("text"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"suffix_texts_{uuid.uuid4().hex}"
+    rows.repartition(parts, "rid").write.bucketBy(parts, "rid").sortBy("rid").option("path", shared_folder(spark, "suffix-texts")).saveAsTable(name)
+    return spark.table(name)
 
-    A span is start * 4096 + number of adjacent starts.
-    """
+
+def _levels(length: int) -> list[int]:
+    return [z for z in (32, 4) if z <= length // 8] + [1]
+
+
+def repeated_starts(texts: DataFrame, length: int, unit: str, gram: int | None = None) -> DataFrame:
+    """rid, spans: for each text that holds repeated windows, their starts, as start * 4096 + how many
+    adjacent ones. `texts` has rid and text."""
     if not 1 < length < 4096:
         raise ValueError("a window has 2 to 4095 symbols")
     gram = gram or max(1, min(32, length // 6))
-    value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    keyed = docs.select(F.col(doc_id).alias("id"), F.unhex(F.md5(value)).alias("key"), value.alias("text")).filter(F.octet_length("text") >= length)
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keys = batch["key"].to_numpy()
+            rids = batch["rid"].to_numpy()
             for which, parts in _blocks((symbols(_encoded(t), unit) for t in batch["text"]), length):
                 t, first, n, e0, g, c = runs_of(parts, length, gram)
                 cut = np.searchsorted(t, np.arange(len(parts) + 1))
-                arrays = {"g": g.view(np.int64), "c": c.view(np.int64), "first": first.astype(np.int32), "n": n.astype(np.int16), "e0": e0.astype(np.int16)}
-                yield pd.DataFrame({"key": keys[which]} | {k: [a[i:j] for i, j in zip(cut, cut[1:], strict=False)] for k, a in arrays.items()})
+                arrays = {"g": g.view(np.int64), "c": c.view(np.int64), "a": (first + e0).astype(np.int32), "lo": (e0 - n + 1).astype(np.int16), "hi": e0.astype(np.int16)}
+                yield pd.DataFrame({"rid": rids[which]} | {k: [a[i:j] for i, j in zip(cut, cut[1:], strict=False)] for k, a in arrays.items()})
 
-    kinds = "key binary, g array<long>, c array<long>, first array<int>, n array<smallint>, e0 array<smallint>"
-    found = materialise(keyed.select("key", "text").mapInPandas(find, kinds), "suffix-runs")
+    kinds = "rid long, g array<long>, c array<long>, a array<int>, lo array<smallint>, hi array<smallint>"
+    found = materialise(texts.filter(F.octet_length("text") >= length).select("rid", "text").mapInPandas(find, kinds), "suffix-runs")
 
-    # Pass 1: runs whose gram occurs again.
+    # Pass 1: runs whose gram occurs again. `cid` names a run's content, lo and hi the places of its gram.
     again = found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g")
-    runs = found.select("key", F.inline(F.arrays_zip("g", "c", "first", "n", "e0")))
+    runs = found.select("rid", F.inline(F.arrays_zip("g", "c", "a", "lo", "hi"))).select("rid", "g", F.xxhash64("g", "c", "lo", "hi").alias("cid"), "a", "lo", "hi")
     runs = materialise(runs.join(again, "g"), "suffix-pass1")
+    discard(found)
 
     # Pass 2: contents, and the grams that more than one content has.
-    contents = materialise(runs.groupBy(*_KEY).agg(F.count("*").alias("times"), F.min(F.struct("key", "first")).alias("at")), "suffix-pass2")
+    contents = materialise(runs.groupBy("g", "cid").agg(F.count("*").alias("times"), F.min(F.struct("rid", "a", "lo", "hi")).alias("at")).select("g", "cid", "times", "at.*"), "suffix-pass2")
     mixed = contents.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
-    spread = contents.join(mixed, "g").select("at.key", F.struct("g", "c", "at.first", "n", "e0").alias("r")).groupBy("key").agg(F.collect_list("r").alias("r"))
-    # collect_list gathers the runs of one text, which its length bounds.
-    owners = keyed.groupBy("key").agg(F.min("id").alias("owner"))
-    spread = spread.join(owners, "key")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for texts, runs_ in zip(batch["text"], batch["r"], strict=True):
-                b = _Block([symbols(_encoded(texts), unit)])
-                rows = [(r["g"], r["c"], r["first"], r["n"], r["e0"]) for r in runs_]
-                for i in range(0, len(rows), 512):
-                    g, c, first, n, e0 = (np.array(x, np.int64) for x in zip(*rows[i : i + 512], strict=True))
-                    k = np.repeat(np.arange(len(n)), n)
-                    step = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
-                    start = first[k] + step
-                    yield pd.DataFrame({"g": g[k], "c": c[k], "n": n[k].astype(np.int16), "e0": e0[k].astype(np.int16), "step": step.astype(np.int16), "w": b.hashes(start, start + length).view(np.int64)})
-
-    sources = keyed.join(spread, "key").filter(F.col("id").eqNullSafe(F.col("owner"))).select("text", "r")
-    spread_out = materialise(sources.mapInPandas(windows, "g long, c long, n smallint, e0 smallint, step smallint, w long"), "suffix-windows")
-    # Pass 3: windows at one place of a gram that two contents have.
-    place = (F.col("e0") - F.col("step")).alias("place")
-    content = F.xxhash64("c", "n", "e0")
-    twice = spread_out.groupBy("g", place, "w").agg(F.min(content).alias("p"), F.max(content).alias("q")).filter("p <> q").select("g", "place", "w")
-    single = spread_out.select("*", place).join(twice, ["g", "place", "w"]).select(*_KEY, F.col("step").cast("int").alias("step"), F.lit(1).alias("m")).distinct()
-    whole = contents.filter("times > 1").select(*_KEY, F.lit(0).alias("step"), F.col("n").cast("int").alias("m"))
-    rest = single.join(contents.filter("times = 1").select(*_KEY), _KEY)
-    resolved = rest.select(*_KEY, "step", "m").union(whole)
-    spans = runs.join(resolved, _KEY).select("key", ((F.col("first") + F.col("step")).cast("long") * 4096 + F.col("m")).alias("s"))
-    return spans.groupBy("key").agg(F.collect_set("s").alias("spans"))
+    resolved = contents.filter("times > 1").select("cid", "lo", "hi")
+    asked = contents.join(mixed, "g").select("rid", "g", "cid", "a", "lo", "hi")
+
+    for z in _levels(length):
+
+        def digits(batches: Iterator[pd.DataFrame], z: int = z) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for text, runs_ in zip(batch["text"], batch["r"], strict=True):
+                    b = _Block([symbols(_encoded(text), unit)])
+                    rows = [(r["g"], r["cid"], r["a"], r["lo"], r["hi"]) for r in runs_]
+                    for i in range(0, len(rows), 2048):
+                        g, cid, a, lo, hi = (np.array(x, np.int64) for x in zip(*rows[i : i + 2048], strict=True))
+                        n = hi // z - lo // z + 1
+                        r = np.repeat(np.arange(len(n)), n)
+                        k = lo[r] // z + np.arange(len(r)) - np.repeat(np.cumsum(n) - n, n)
+                        low, high = k * z, k * z + z - 1
+                        core = b.hashes(a[r] - low, a[r] + length - high)
+                        begin, end = a[r] - high, a[r] + length - low
+                        inside = (begin >= 0) & (end <= b.size)
+                        # What ends with its text is like nothing else here.
+                        own = _mix(cid[r].view(np.uint64) + k.view(np.uint64) * _MIX[0])
+                        full = np.where(inside, b.hashes(np.maximum(begin, 0), np.minimum(end, b.size)), own)
+                        yield pd.DataFrame({"g": g[r], "cid": cid[r], "k": k.astype(np.int16), "core": core.view(np.int64), "full": full.view(np.int64)})
+
+        # collect_list gathers the runs of one text, which its length bounds.
+        by_text = asked.groupBy("rid").agg(F.collect_list(F.struct("g", "cid", "a", "lo", "hi")).alias("r"))
+        met = texts.select("rid", "text").join(by_text, "rid").select("text", "r")
+        cut = materialise(met.mapInPandas(digits, "g long, cid long, k smallint, core long, full long").distinct(), f"suffix-cut{z}")
+        classes = materialise(cut.groupBy("g", "k", "core", "full").agg(F.count("*").alias("times"), F.min("cid").alias("cid")), f"suffix-classes{z}")
+        same = cut.join(classes.filter("times > 1").select("g", "k", "core", "full"), ["g", "k", "core", "full"]).select("cid", "k")
+        part = [F.greatest(F.col("lo"), F.col("k") * z).cast("smallint").alias("lo"), F.least(F.col("hi"), F.col("k") * z + z - 1).cast("smallint").alias("hi")]
+        bounds = asked.select("cid", "lo", "hi").withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / z), F.floor(F.col("hi") / z)).cast("array<smallint>"))) if z > 1 else asked.select("cid", "lo", "hi").withColumn("k", F.explode(F.sequence("lo", "hi")))
+        resolved = resolved.union(same.join(bounds, ["cid", "k"]).select("cid", *part))
+        if z > 1:
+            split = classes.groupBy("g", "k", "core").agg(F.min("full").alias("p"), F.max("full").alias("q")).filter("p <> q").select("g", "k", "core")
+            wanted = classes.join(split, ["g", "k", "core"]).select("cid", "k")
+            pieces = asked.withColumn("k", F.explode(F.sequence(F.floor(F.col("lo") / z), F.floor(F.col("hi") / z)).cast("array<smallint>")))
+            asked = materialise(pieces.join(wanted, ["cid", "k"]).select("rid", "g", "cid", "a", *part), f"suffix-asked{z}")
+
+    resolved = materialise(resolved, "suffix-resolved")
+    spans = runs.join(resolved.withColumnsRenamed({"lo": "from", "hi": "to"}), "cid")
+    spans = spans.select("rid", ((F.col("a") - F.col("to")).cast("long") * 4096 + (F.col("to") - F.col("from") + 1)).alias("s"))
+    return spans.groupBy("rid").agg(F.collect_set("s").alias("spans"))
 
 
 def covered(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,33 +236,27 @@ def covered(spans: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
 def remove_repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, unit: str = "bytes", keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary, what is left of the text's UTF-8 bytes), one row a
     document, and the columns of `keep`. Every byte of a window that also starts anywhere else goes."""
-    spans = repeated_starts(docs, doc_id, text, length, unit)
-    rest = [F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]
-    raw = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), raw.cast("binary").alias("raw"), F.unhex(F.md5(raw)).alias("key"), *rest)
-    rows = rows.join(spans, "key", "left").drop("key")
-    kinds = rows.schema
-    # Rows without a span never leave the JVM.
-    whole = rows.filter("spans IS NULL").select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("raw").alias("kept"), *[f"_k{i}" for i in range(len(keep))])
-
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = []
-            for raw_, s in zip(batch["raw"], batch["spans"], strict=True):
-                begin, end = covered(np.asarray(s, np.int64), length)
-                if unit == "words":
-                    at = np.array([m.start() for m in _WORD.finditer(raw_)] + [len(raw_)])
-                    begin, end = at[begin], at[end]
-                edge = np.concatenate(([0], end)), np.concatenate((begin, [len(raw_)]))
-                found.append((len(raw_), int((end - begin).sum()), len(begin), b"".join(raw_[i:j] for i, j in zip(*edge, strict=True))))
-            a = pd.DataFrame(found, columns=["n_bytes", "n_removed", "n_spans", "kept"], index=batch.index)
-            yield pd.concat([batch.drop(columns=["raw", "spans"]), a], axis=1)
-
-    # An id as a string: a null would turn 64-bit ids into floats in pandas.
-    as_text = {c: F.col(c).cast("string") for c in ["doc_id", *[f"_k{i}" for i in range(len(keep))]]}
-    changed = rows.filter("spans IS NOT NULL").withColumns(as_text)
-    done = changed.mapInPandas(cut, "doc_id string, n_bytes long, n_removed long, n_spans long, kept binary" + "".join(f", _k{i} string" for i in range(len(keep))))
-    for c in as_text:
-        done = done.withColumn(c, F.col(c).cast(kinds[c].dataType))
-    both = whole.unionByName(done)
-    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    texts = bucketed(docs, doc_id, text, keep)
+    spans = repeated_starts(texts, length, unit)
+
+    @F.pandas_udf("n_removed long, n_spans long, kept binary")
+    def cut(raw: pd.Series, spans: pd.Series) -> pd.DataFrame:
+        found = []
+        for t, s in zip(raw, spans, strict=True):
+            raw_ = t.encode("utf-8")
+            begin, end = covered(np.asarray(s, np.int64), length)
+            if unit == "words":
+                at = np.array([m.start() for m in _WORD.finditer(raw_)] + [len(raw_)])
+                begin, end = at[begin], at[end]
+            edge = np.concatenate(([0], end)), np.concatenate((begin, [len(raw_)]))
+            found.append((int((end - begin).sum()), len(begin), b"".join(raw_[i:j] for i, j in zip(*edge, strict=True))))
+        return pd.DataFrame(found, columns=["n_removed", "n_spans", "kept"])
+
+    rows = texts.join(spans, "rid", "left")
+    sized = ["doc_id", F.octet_length("text").cast("long").alias("n_bytes")]
+    rest = [F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)]
+    none = F.lit(0).cast("long")
+    # Texts without a span never leave the JVM.
+    whole = rows.filter("spans IS NULL").select(*sized, none.alias("n_removed"), none.alias("n_spans"), F.col("text").cast("binary").alias("kept"), *rest)
+    changed = rows.filter("spans IS NOT NULL").withColumn("_cut", cut("text", "spans")).select(*sized, "_cut.*", *rest)
+    return whole.union(changed)
