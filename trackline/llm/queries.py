@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, html, neardup, packing, quality, sharding, suffixes
+from trackline.llm import archive, bpe, html, neardup, neighbours, packing, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -56,6 +56,10 @@ def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_multi_index_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), queries=F.col("id") % 20 == 0, k=20)
+
+
 def op9_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
