@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, html, neardup, neighbours, packing, quality, sharding, suffixes
+from trackline.llm import archive, bpe, html, lines, neardup, neighbours, packing, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -32,6 +32,11 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.deduplicate_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def public_vocabulary(name: str) -> str:
     """The installed file of a public tokenizer; a parameter of the operators."""
     import public_tokenizers
