@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -55,22 +56,56 @@ class WordIds:
         self.tokenizer.no_padding()
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+        self.stems_before: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str], end: int = 0) -> list[bytes]:
         rows = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.now) > MEMORY:
             self.now, self.before = {}, self.now
+        if len(self.stems) > MEMORY:
+            self.stems, self.stems_before = {}, self.stems
         new = [w for w in set().union(*rows) if w not in self.now]
         self.now.update((w, self.before[w]) for w in new if w in self.before)
-        new = [w for w in new if w not in self.before]
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.now[w] = np.asarray(e.ids, "<u4").tobytes()
+        parted = {w: self._parts(w) for w in new if w not in self.before}
+        stems = self.stems
+        parts = {p for ps in parted.values() for p in ps if p not in stems}
+        stems.update((p, self.stems_before[p]) for p in parts if p in self.stems_before)
+        self._learn({p for p in parts if p not in self.stems_before})
+        self.now.update((w, stems[ps[0]] if len(ps) == 1 else stems[ps[0]] + stems[ps[1]]) for w, ps in parted.items())
         last = int(end).to_bytes(4, "little")
         get = self.now.__getitem__
         return [b"".join(map(get, row)) + last for row in rows]
 
+    @staticmethod
+    def _parts(word: str) -> tuple[str, ...]:
+        """A word as the stem and the marks that end it, where the pre-tokenizer parts them: after nothing but
+        letters. ASCII letters are lower-cased, as the tokenizer does."""
+        stem = word.rstrip(".,;:!?")
+        if not stem.isalpha():
+            return (word,)
+        if stem.isascii():
+            stem = stem.lower()
+        return (stem, word[len(stem) :]) if len(stem) < len(word) else (stem,)
+
+    def _learn(self, parts: set[str]) -> None:
+        letters = [p for p in parts if p.isalpha()]
+        rest = [p for p in parts if not p.isalpha()]
+        # Words of letters are one piece each, so many are encoded in one call and cut where the piece changes.
+        for i in range(0, len(letters), 1000):
+            some = letters[i : i + 1000]
+            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            cut = np.flatnonzero(np.diff(np.asarray(e.word_ids, np.int64), prepend=-1, append=-1)) * 4
+            if len(cut) != len(some) + 1:
+                rest += some
+                continue
+            ids = np.asarray(e.ids, "<u4").tobytes()
+            self.stems.update((w, ids[a:b]) for w, a, b in zip(some, cut.tolist(), cut[1:].tolist(), strict=False))
+        for i in range(0, len(rest), 5000):
+            some = rest[i : i + 5000]
+            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.stems[w] = array("I", e.ids).tobytes()
+
 
 _loaded: dict[str, WordIds] = {}
 
@@ -85,8 +120,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         words = _loaded[vocabulary]
         for batch in batches:
             out = []
-            for i in range(0, len(batch), 500):
-                for ids in words.encode_batch([t or "" for t in batch.iloc[i : i + 500]], end):
+            for i in range(0, len(batch), 1000):
+                for ids in words.encode_batch([t or "" for t in batch.iloc[i : i + 1000]], end):
                     out.append((len(ids) // 4, [zlib.crc32(ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)]))
             yield pd.DataFrame(out, columns=["n", "crcs"])
 
@@ -153,12 +188,16 @@ def evolve(sizes: list[int], capacity: int, start: list[list[list[int]]], seed:
         return bins.bins
 
     people = [list(map(list, p)) for p in start] or [packed(0)]
+    least = -(-sum(sizes) // capacity)
+    if min(map(len, people)) == least:
+        # No packing has fewer bins.
+        return min(people, key=len)
     while len(people) < POPULATION:
         people.append(packed(0.1 * len(people)))
     scored = sorted(((fitness(p, sizes, capacity), k, p) for k, p in enumerate(people)), reverse=True)
-    least, n = -(-sum(sizes) // capacity), len(scored)
+    n = len(scored)
     for _ in range(CHILDREN):
-        if -scored[0][0][0] <= least and scored[0][0][1] > 0.9999 * least:
+        if -scored[0][0][0] <= least:
             break
         i, j = rng.choice(len(scored), 2, replace=False)
         child, n = cross(scored[min(i, j)][2], scored[max(i, j)][2], sizes, capacity, rng), n + 1
