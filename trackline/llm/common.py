@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_folder(spark, label)
     df.write.parquet(path)
+    # What is written needs its shuffle files no more; Spark drops them when the driver collects garbage.
+    spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
@@ -97,38 +100,77 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     return labels
 
 
-def linked_groups(members: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
-    """Components of the items that share a bucket and are verified to be alike.
+#: Rounds in which the items of a bucket are held against one of them.
+STARS = 3
+
+
+def linked_groups(members: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column], contents: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], label: str) -> DataFrame:
+    """Components of the items that share a bucket and are alike.
 
     members: bucket, item. sigs: item, sig (a struct). near(x, y) is a cheap necessary condition on two
-    columns of sigs. verify(pairs a, b) returns the pairs that hold. All pairs of a bucket would grow with
-    its square, so the items of a bucket are first held against its smallest item only. Most groups are
-    then one component. What is left are pairs of items whose components differ; only for these a bucket
-    is joined with itself, with `near` inside the join, so that no link is lost.
+    columns of sigs. contents(items) gives item, full, and alike(x, y) decides on two columns of these.
+    All pairs of a bucket would grow with its square, so in a few rounds the items of a bucket are held
+    against one of its items only, another one each round, and only buckets whose items are not of one
+    component yet take part. What is left are items of different components; of these, rows that have a
+    near partner are found by a semi join, and only they meet each other with both conditions inside the
+    join. So every link is found, and no join puts out anything but rows of items or links.
     Returns node, component for the items that have a link.
     """
-    leaders = members.groupBy("bucket").agg(F.min("item").alias("b"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    busy = materialise(members.join(leaders, "bucket").select("bucket", F.col("item").alias("a"), "b"), label)
-
-    def checked(pairs: DataFrame) -> DataFrame:
-        x, y = (sigs.select(F.col("item").alias(s), F.col("sig").alias(f"sig_{s}")) for s in "ab")
-        return pairs.join(x, "a").join(y, "b").filter(near("sig_a", "sig_b")).select("a", "b")
-
-    star = materialise(checked(busy.filter("a <> b").select("a", "b").distinct()), label)
-    edges = materialise(verify(star), label)
-    parts = connected(edges, label)
-    rest = busy.select("bucket", F.col("a").alias("item"))
-    rest = rest.join(parts, F.col("item") == F.col("node"), "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
-    open_ = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("bucket")
-    rest = materialise(rest.join(open_, "bucket").join(sigs, "item").select("bucket", "item", "part", "sig"), label)
-    x, y = (rest.select(*[F.col(c).alias(f"{c}_{s}") for c in ("bucket", "item", "sig", "part")]) for s in "xy")
-    on = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("item_x") < F.col("item_y")) & (F.col("part_x") != F.col("part_y")) & near("sig_x", "sig_y")
-    more = materialise(x.join(y, on).select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct(), label)
-    if not more.isEmpty():
-        held = materialise(verify(more), label)
-        if not held.isEmpty():
-            discard(parts)
-            parts = connected(edges.union(held), label)
-        discard(held)
-    discard(busy, star, rest, edges, more)
+    shared = materialise(members.groupBy("bucket").agg(F.min("item").alias("p"), F.max("item").alias("q")).filter("p <> q").select("bucket"), label)
+    busy = materialise(members.join(shared, "bucket").select("bucket", "item"), label)
+    items = materialise(busy.select("item").distinct().join(sigs, "item").select("item", "sig"), label)
+    full = materialise(contents(items.select("item")), label)
+    discard(shared)
+    edges: list[DataFrame] = []
+    parts = None
+
+    def add(links: DataFrame) -> None:
+        nonlocal parts
+        held = materialise(links, label)
+        if held.isEmpty():
+            discard(held)
+            return
+        edges.append(held)
+        old, parts = parts, connected(reduce(DataFrame.union, edges), label)
+        if old is not None:
+            discard(old)
+
+    def open_rows() -> DataFrame:
+        """bucket, item, part: the buckets that more than one component shares."""
+        if parts is None:
+            return busy.withColumn("part", F.col("item"))
+        rest = busy.join(parts, F.col("item") == F.col("node"), "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
+        mixed = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("bucket")
+        return rest.join(mixed, "bucket").select("bucket", "item", "part")
+
+    def both(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        x, y = (df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "xy")
+        return x, y
+
+    apart = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("part_x") != F.col("part_y"))
+    for star in range(STARS):
+        rest = materialise(open_rows(), label)
+        if rest.isEmpty():
+            discard(rest)
+            break
+        lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "item"), "item", "part")).alias("lead"))
+        lead = lead.select("bucket", F.col("lead.item").alias("b"), F.col("lead.part").alias("part_b"))
+        pairs = rest.join(lead, "bucket").filter("part <> part_b").select(F.least("item", "b").alias("a"), F.greatest("item", "b").alias("b")).distinct()
+        x, y = (items.select(F.col("item").alias(s), F.col("sig").alias(f"sig_{s}")) for s in "ab")
+        pairs = pairs.join(x, "a").join(y, "b").filter(near("sig_a", "sig_b")).select("a", "b")
+        x, y = (full.select(F.col("item").alias(s), F.col("full").alias(f"full_{s}")) for s in "ab")
+        add(pairs.join(x, "a").join(y, "b").filter(alike("full_a", "full_b")).select("a", "b"))
+        discard(rest)
+    rest = materialise(open_rows().join(items, "item").select("bucket", "item", "part", "sig"), label)
+    x, y = both(rest)
+    some = x.join(y, apart & near("sig_x", "sig_y"), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in rest.columns])
+    some = materialise(some, label)
+    if not some.isEmpty():
+        x, y = both(some.join(full, "item"))
+        links = x.join(y, apart & (F.col("item_x") < F.col("item_y")) & near("sig_x", "sig_y") & alike("full_x", "full_y"))
+        add(links.select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct())
+    discard(busy, items, full, rest, some, *edges)
+    if parts is None:
+        kind = members.schema["item"].dataType.simpleString()
+        return members.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
     return parts

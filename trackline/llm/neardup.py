@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackline.llm.common import connected, discard, linked_groups, materialise  # noqa: F401
+from trackline.llm.common import linked_groups, materialise
 
 #: MinHash samples of a text, at most.
 SAMPLES = 252
@@ -137,18 +137,20 @@ def signatures(docs: DataFrame, doc_id: str, text: str, shingle: int, threshold:
 
 
 def sketch_limit(threshold: int) -> int:
-    """Population count of an XOR that texts at the threshold exceed in under one of 10**9 cases.
+    """Population count of an XOR that texts at the threshold exceed in under one of 10**6 cases.
 
-    The expected count for d differing samples is z/2 (1 - exp(-4 d / z)); d is taken seven standard
-    deviations above its mean at the threshold.
+    For d differing samples z/2 (1 - exp(-4 d / z)) bits are expected, with a variance of about
+    z/4 (1 - exp(-8 d / z)); d itself is binomial. The limit is five standard deviations above the mean.
     """
     j, z = threshold / 100, WORDS * 64
-    d = SAMPLES * (1 - j) + 7 * (SAMPLES * j * (1 - j)) ** 0.5
-    return int(z / 2 * (1 - np.exp(-4 * min(d, SAMPLES) / z)) + 7 * (z / 4) ** 0.5 * 0.5)
+    d, spread = SAMPLES * (1 - j), (SAMPLES * j * (1 - j)) ** 0.5
+    slope = 2 * np.exp(-4 * d / z)
+    deviation = ((slope * spread) ** 2 + z / 4 * (1 - np.exp(-8 * d / z))) ** 0.5
+    return int(z / 2 * (1 - np.exp(-4 * d / z)) + 5 * deviation)
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """item, values of the wanted items, from the documents that stand for them."""
+    """item, full (the set) of the wanted items, from the documents that stand for them."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -158,7 +160,7 @@ def _full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: Da
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("stands"))).select("text", "item")
     found = rows.mapInPandas(collect, "item binary, wanted binary, values array<long>").filter("item = wanted")
-    return found.select("item", "values").dropDuplicates(["item"])
+    return found.select("item", F.col("values").alias("full")).dropDuplicates(["item"])
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, threshold: int = 80) -> DataFrame:
@@ -169,7 +171,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     signed = materialise(signatures(docs, doc_id, text, shingle, threshold), "neardup-signatures")
     full = signed.filter("item IS NOT NULL")
-    items = full.groupBy(F.col("item").alias("of")).agg(F.min("doc_id").alias("stands"))
+    items = materialise(full.groupBy(F.col("item").alias("of")).agg(F.min("doc_id").alias("stands")), "neardup-stands")
     sig = F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)])
     one = materialise(full.join(items, (F.col("item") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("stands"))).select("item", sig.alias("sig"), "stands", "bands").dropDuplicates(["item"]), "neardup-items")
     members = one.select(F.explode("bands").alias("bucket"), "item")
@@ -180,16 +182,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         small, large = F.least(F.col(x)["n"], F.col(y)["n"]), F.greatest(F.col(x)["n"], F.col(y)["n"])
         return (small * 100 >= large * threshold) & (differ <= limit)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("item")).union(pairs.select(F.col("b").alias("item"))).distinct()
-        sets = _full_sets(docs, doc_id, text, shingle, one.join(wanted, "item").select("item", "stands"))
-        sets = materialise(sets, "neardup-sets")
-        x, y = (sets.select(F.col("item").alias(s), F.col("values").alias(f"v{s}")) for s in "ab")
-        both = pairs.join(x, "a").join(y, "b").withColumn("i", F.size(F.array_intersect("va", "vb")))
-        return both.filter(F.col("i") * 100 >= (F.size("va") + F.size("vb") - F.col("i")) * threshold).select("a", "b")
-
-    parts = linked_groups(members, one.select("item", "sig"), near, verify, "neardup")
-    named = signed.select("doc_id", "n_shingles", "item").join(parts, F.col("item") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "item").alias("part"))
-    names = named.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("first"))
+    def contents(items: DataFrame) -> DataFrame:
+        return _full_sets(docs, doc_id, text, shingle, one.join(items, "item").select("item", "stands"))
+
+    def alike(x: str, y: str) -> Column:
+        # 100 |A & B| >= t |A | B|, with |A | B| = |A| + |B| - |A & B|.
+        return F.size(F.array_intersect(x, y)) * (100 + threshold) >= (F.size(x) + F.size(y)) * threshold
+
+    parts = linked_groups(members, one.select("item", "sig"), near, contents, alike, "neardup")
+    named = materialise(signed.select("doc_id", "n_shingles", "item").join(parts, F.col("item") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "item").alias("part")), "neardup-parts")
+    # In a table of its own, so that a large component's side of the join can be split.
+    names = materialise(named.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("first")), "neardup-names")
     out = named.join(names, "part", "left").select("doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
