@@ -130,7 +130,8 @@ def plan_records(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     size, digest = F.octet_length(html), F.sha1(html.cast("binary"))
     keys = pages.select("page_id", size.alias("size"), digest.alias("digest")).filter(size >= REVISIT_BYTES).filter("page_id IS NOT NULL")
-    kept = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    # In a table of its own, so that a hot payload's side of the join can be split.
+    kept = materialise(keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1").drop("n"), "warc-kept")
     revisits = keys.join(kept, ["digest", "size"]).filter("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), html.alias("payload"), digest.alias("digest"))
     kind = F.when(F.col("refers_to").isNull(), "response").otherwise("revisit")
@@ -174,9 +175,18 @@ def write_monolithic(records: DataFrame) -> DataFrame:
     return materialise(rows.mapInPandas(write, "path string, n_records long"), "warc-mono-manifest")
 
 
-def normalise(manifest: DataFrame) -> DataFrame:
+def _remove_archives(manifest: DataFrame) -> None:
+    """Delete the folder of the archives that a manifest lists."""
+    spark = manifest.sparkSession
+    for r in manifest.select("path").limit(1).collect():
+        place = spark._jvm.org.apache.hadoop.fs.Path(posixpath.dirname(r["path"]))
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def normalise(manifest: DataFrame, remove: bool = False) -> DataFrame:
     """Inflate each archive once and rewrite every record as its own gzip member, with a sidecar index
-    of lines `offset length`. The new manifest has path, index_path and n_records."""
+    of lines `offset length`. The new manifest has path, index_path and n_records. With `remove`, the
+    archives that it read are deleted in the end."""
     spark = manifest.sparkSession
     folder = shared_folder(spark, "warc")
 
@@ -203,7 +213,10 @@ def normalise(manifest: DataFrame) -> DataFrame:
             yield pd.DataFrame(done, columns=["path", "index_path", "n_records"])
 
     parts = spark.sparkContext.defaultParallelism
-    return materialise(manifest.repartition(max(parts, 12)).mapInPandas(rewrite, "path string, index_path string, n_records long"), "warc-manifest")
+    done = materialise(manifest.repartition(max(parts, 12)).mapInPandas(rewrite, "path string, index_path string, n_records long"), "warc-manifest")
+    if remove:
+        _remove_archives(manifest)
+    return done
 
 
 def read_back(manifest: DataFrame, payloads: bool = True) -> DataFrame:

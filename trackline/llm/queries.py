@@ -57,7 +57,7 @@ def op6_grouping_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc_normaliser(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = archive.plan_records(table(spark, sf_dir, "pages"))
-    stored = archive.read_back(archive.normalise(archive.write_monolithic(records)), payloads=False)
+    stored = archive.read_back(archive.normalise(archive.write_monolithic(records), remove=True), payloads=False)
     return stored.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

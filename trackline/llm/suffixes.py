@@ -170,14 +170,15 @@ def repeated_starts(texts: DataFrame, length: int, unit: str, gram: int | None =
     found = materialise(texts.filter(F.octet_length("text") >= length).select("rid", "text").mapInPandas(find, kinds), "suffix-runs")
 
     # Pass 1: runs whose gram occurs again. `cid` names a run's content, lo and hi the places of its gram.
-    again = found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g")
+    # In a table of its own, so that a hot gram's side of the join can be split.
+    again = materialise(found.select(F.explode("g").alias("g")).groupBy("g").count().filter("count > 1").select("g"), "suffix-again")
     runs = found.select("rid", F.inline(F.arrays_zip("g", "c", "a", "lo", "hi"))).select("rid", "g", F.xxhash64("g", "c", "lo", "hi").alias("cid"), "a", "lo", "hi")
     runs = materialise(runs.join(again, "g"), "suffix-pass1")
-    discard(found)
+    discard(found, again)
 
     # Pass 2: contents, and the grams that more than one content has.
     contents = materialise(runs.groupBy("g", "cid").agg(F.count("*").alias("times"), F.min(F.struct("rid", "a", "lo", "hi")).alias("at")).select("g", "cid", "times", "at.*"), "suffix-pass2")
-    mixed = contents.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g")
+    mixed = materialise(contents.groupBy("g").agg(F.count("*").alias("k")).filter("k > 1").select("g"), "suffix-mixed")
     resolved = contents.filter("times > 1").select("cid", "lo", "hi")
     asked = contents.join(mixed, "g").select("rid", "g", "cid", "a", "lo", "hi")
 
