@@ -53,6 +53,15 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter by columns that are costly to compute.
+
+    Pushed down, a filter would hold a copy of their expressions for each use, and the plan of nested ones would
+    grow without end. A row number that the filter reads keeps it where it stands.
+    """
+    return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
+
+
 def text_key(text: Column) -> Column:
     """128 bits that stand for a text."""
     return F.md5(F.coalesce(text, F.lit("")))
