@@ -184,6 +184,53 @@ def test_fuzzy_line_links_need_the_edit_distance(spark):
     assert got == {1: 0, 2: int(linked)}
 
 
+def _edited(words, share, rng):
+    """Words replaced, dropped, added or misspelt until the edits are near the share of the characters."""
+    out, room = list(words), int(share * len(" ".join(words)))
+    while True:
+        k, kind = rng.randrange(len(out)), rng.randrange(4)
+        if kind == 0:
+            new, cost = [prose(1, rng.random())], None
+        elif kind == 1:
+            new, cost = [], len(out[k]) + 1
+        elif kind == 2:
+            new, cost = [out[k], prose(1, rng.random())], None
+        else:
+            at = rng.randrange(len(out[k]))
+            new, cost = [out[k][:at] + "q" + out[k][at + 1 :]], 1
+        cost = max(len(out[k]), len(" ".join(new))) if cost is None else cost
+        if cost > room:
+            return out
+        room -= cost
+        out[k : k + 1] = new
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        last, row[0] = row[0], i + 1
+        for j, y in enumerate(b):
+            last, row[j + 1] = row[j + 1], min(last + (x != y), row[j] + 1, row[j + 1] + 1)
+    return row[-1]
+
+
+@pytest.mark.parametrize("low, high, least", [(5, 9, 0.9), (10, 19, 0.9), (20, 39, 0.9), (40, 99, 0.9), (100, 140, 0.9)])
+def test_fuzzy_line_recall_by_length(spark, low, high, least):
+    """Pairs within EDITS by brute-force edit distance are found, whatever their length."""
+    import random as rnd
+
+    rng, table, near = rnd.Random(low), [], []
+    for k in range(60 if low < 40 else 25):
+        words = prose(rng.randint(low, high), 9000 * low + k).split()
+        a, b = " ".join(words), " ".join(_edited(words, rng.choice([0.1, 0.15, 0.2]), rng))
+        if a != b and len(b.split()) >= 5 and _distance(a, b) * 100 <= lines.EDITS * max(len(a), len(b)):
+            near.append(2 * k + 1)
+        table += [(2 * k, a), (2 * k + 1, b)]
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert len(near) > 15 and sum(got[i] for i in near) >= least * len(near)
+    assert not any(got[2 * k] for k in range(len(table) // 2))
+
+
 def test_bpe_equals_the_library(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_vocabulary("byte_bpe_50k.json")
