@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trackline.llm import archive, bpe, html, lines, neardup, neighbours, packing, quality, sharding, suffixes
 from trackline.llm.common import connected
-from trackline.llm.queries import public_vocabulary
+from trackline.llm.queries import op4_fuzzy_lines, public_vocabulary
 
 
 def prose(n, seed):
@@ -160,6 +160,14 @@ def test_lines(spark, docs, empty):
     assert lines.deduplicate_lines(empty).count() == 0
 
 
+def test_short_lines_are_deduplicated_exactly(spark, tmp_path):
+    table = [(1, "Read more\n\n---\none two three four"), (2, "read MORE!\n\n---\none two three five"), (3, "Read more\nRead more"), (4, "Read mores")]
+    df = spark.createDataFrame(table, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.text for r in op4_fuzzy_lines(spark, str(tmp_path)).collect()}
+    assert got == {1: table[0][1], 2: "\n---\none two three five", 3: "", 4: "Read mores"}
+
+
 def test_simhash_counts_long_lines(spark):
     import random as rnd
 

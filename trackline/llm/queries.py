@@ -34,7 +34,7 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return lines.deduplicate_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return lines.deduplicate_lines(docs, exact_words=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def public_vocabulary(name: str) -> str:
