@@ -374,6 +374,21 @@ def test_extraction(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_extraction_judges_marked_and_unmarked_blocks():
+    long = "This is the text that was written by all of us and it is long enough for the rules to judge it by its words and not by its place."
+    odd = "Kebab lorem kobalt, rinde mosaik vulkan ambra tundra, pixel quarz silber onyx kupfer."
+    links = "<p><a href=x>Cheap watches and shoes for sale</a></p><ul><li><a href=y>one</a></li><li><a href=z>two</a></li></ul>"
+    teaser = "<article><h2><a href=x>Another story</a></h2><p>A few words on it.</p></article>"
+    # The body is in a plain element, beside teasers, linked and not.
+    assert html.main_text(f"<body>{teaser}<div>{long}</div><article><p>Coming soon.</p></article><div>{long}</div></body>") == f"{long}\n{long}"
+    # Link lists and linked adverts inside go, odd and short text stays.
+    for tag in ("article", "main"):
+        assert html.main_text(f"<{tag}><h1>Head</h1><p>{long}</p>{links}<p>{odd}</p><p>{long}</p></{tag}>") == f"Head\n{long}\n{odd}\n{long}"
+    # Alone, the tag decides for blocks that the rules leave open; without it they go.
+    assert html.main_text(f"<nav>Menu</nav><article><p>{odd}</p><p>Short.</p></article>") == f"{odd}\nShort."
+    assert html.main_text(f"<nav>Menu</nav><div><p>{odd}</p><p>Short.</p></div>") == ""
+
+
 def expected_removal(texts, length):
     count = Counter(t[i : i + length] for t in texts for i in range(len(t) - length + 1))
     for t in texts:

@@ -1,10 +1,13 @@
 """Main text of web pages by two passes of block rules.
 
 Markup cuts a page into blocks. The first pass judges each block by itself: its place (menus, headers,
-footers, side boxes, forms and the like are never main text; an article's own blocks are), its link
-density, its length and its density of stop words. Blocks too short to judge stay open. The second pass
-gives them the label of their nearest decided neighbours. A page that marks no article is judged by the
-rules alone.
+footers, side boxes, forms and the like are never main text), its link density, its length and its density
+of stop words. Blocks too short to judge stay open. The second pass gives them the label of their nearest
+decided neighbours.
+
+An <article> or <main> is evidence for its blocks: few stop words leave a block in it open instead of bad, its
+open blocks look for neighbours inside it only, and between two labels that differ they are good. If
+nothing in it is decided, its blocks are good unless the rules find main text outside of all such elements.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page
 order. Only the HTML goes to Python; Spark deals out the pages and nothing is shuffled.
@@ -19,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from string import punctuation
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,10 +65,10 @@ LINKED = 0.34
 
 
 class _Block:
-    __slots__ = ("label", "links", "parts", "place")
+    __slots__ = ("label", "links", "parts", "place", "region")
 
-    def __init__(self, place: str | None):
-        self.parts, self.links, self.place, self.label = [], 0, place, ""
+    def __init__(self, place: str | None, region: int = 0):
+        self.parts, self.links, self.place, self.label, self.region = [], 0, place, "", region
 
     def text(self) -> str:
         return " ".join("".join(self.parts).split())
@@ -82,8 +86,10 @@ def _aside(attributes: str) -> bool:
 
 def blocks_of(page: str) -> Iterator[_Block]:
     """The page's blocks with their places: "aside", "main" or None."""
-    open_: list[tuple[str, str | None]] = []
+    open_: list[tuple[str, str | None, int]] = []
     place: str | None = None
+    # The number of the innermost article or main element, and how many there were.
+    region = regions = 0
     links, at, block = 0, 0, _Block(None)
 
     def add(raw: str) -> None:
@@ -108,7 +114,7 @@ def blocks_of(page: str) -> Iterator[_Block]:
             at = end.end() if end else len(page)
             if name == "title" or name in BLOCKS:
                 yield block
-                block = _Block(place)
+                block = _Block(place, region)
             continue
         if name == "a":
             links = 0 if closing else 1
@@ -116,67 +122,76 @@ def blocks_of(page: str) -> Iterator[_Block]:
             block.parts.append(" ")
         if name not in BLOCKS and name not in MAIN:
             # An inline element can still be a notice, say a span for screen readers only.
-            if name in VOID or (not closing and not _aside(m[3])) or (closing and not any(x == name for x, _ in open_)):
+            if name in VOID or (not closing and not _aside(m[3])) or (closing and not any(x == name for x, _, _ in open_)):
                 continue
         yield block
         if closing:
-            if any(x == name for x, _ in open_):
+            if any(x == name for x, _, _ in open_):
                 while open_:
-                    x, place = open_.pop()
+                    x, place, region = open_.pop()
                     if x == name:
                         break
         elif name not in VOID:
             if open_ and open_[-1][0] == "p":
                 # A paragraph ends where the next block begins.
-                place = open_.pop()[1]
-            open_.append((name, place))
+                _, place, region = open_.pop()
+            open_.append((name, place, region))
             if place != "aside":
                 # A header inside an article holds its headline.
                 if (name in ASIDE and not (name == "header" and place == "main")) or (name not in ("html", "body") and name not in MAIN and _aside(m[3])):
                     place = "aside"
                 elif name in MAIN:
                     place = "aside" if _aside(m[3]) and name != "main" else "main"
+                    regions += 1
+                    region = regions
         links = 0
-        block = _Block(place)
+        block = _Block(place, region)
     yield block
 
 
-def judge(blocks: list[_Block], marked: bool) -> None:
+def judge(blocks: list[_Block]) -> None:
     """Label each block good or bad, in two passes."""
     for b in blocks:
         text = b.text()
         words = text.lower().split()
-        stop = sum(w.strip(".,;:!?()\"'") in STOP_WORDS for w in words) / max(1, len(words))
-        if b.place == "aside":
-            b.label = "bad"
-        elif b.place == "main":
-            b.label = "good"
-        elif marked or b.links > LINKED * len(text) or "©" in text:
+        stop = sum(w.strip(punctuation) in STOP_WORDS for w in words) / max(1, len(words))
+        if b.place == "aside" or b.links > LINKED * len(text) or "©" in text:
             b.label = "bad"
         elif len(text) < SHORT:
             b.label = "short"
         elif stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) > LONG):
             b.label = "good"
         else:
-            b.label = "short" if stop >= STOP_LOW else "bad"
+            b.label = "short" if stop >= STOP_LOW or b.place == "main" else "bad"
+    outside = any(b.label == "good" and b.place != "main" for b in blocks)
+    # Neighbours of a block in an article or main element are its other blocks, less the asides in it; of any other block, all.
+    inner = [(b.region if b.place == "main" else 0) for b in blocks]
     decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
-    before, near = "", []
-    for d in decided:
-        before = d or before
-        near.append(before)
-    after = ""
-    for k in range(len(blocks) - 1, -1, -1):
-        after = decided[k] or after
-        if blocks[k].label == "short":
+    last, before = {}, []
+    for b, k, d in zip(blocks, inner, decided, strict=True):
+        for r in {k, 0}:
+            last[r] = d or last.get(r, "")
+        before.append(last[k])
+    last = {}
+    for i in range(len(blocks) - 1, -1, -1):
+        b, k = blocks[i], inner[i]
+        for r in {k, 0}:
+            last[r] = decided[i] or last.get(r, "")
+        if b.label != "short":
+            continue
+        if k:
+            sides = {before[i], last[k]} - {""}
+            b.label = "good" if "good" in sides or not (sides or outside) else "bad"
+        else:
             # Between two labels that differ, a short block goes with the main text only as its heading.
-            sides = {near[k] or "bad", after or "bad"}
-            blocks[k].label = "good" if sides == {"good"} or (sides == {"good", "bad"} and after == "good") else "bad"
+            sides = {before[i] or "bad", last[0] or "bad"}
+            b.label = "good" if sides == {"good"} or (sides == {"good", "bad"} and last[0] == "good") else "bad"
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     blocks = [b for b in blocks_of(page or "") if b.text()]
-    judge(blocks, any(b.place == "main" for b in blocks))
+    judge(blocks)
     return "\n".join(b.text() for b in blocks if b.label == "good")
 
 
