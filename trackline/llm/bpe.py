@@ -15,6 +15,7 @@ itself, so repeated rows get equal results; an empty table gives an empty table;
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -33,8 +34,12 @@ CELLS = 1 << 18
 #: Fewer pieces of a length than this go through their trees one by one.
 FEW = 16
 _NONE = np.int64(1) << np.int64(62)
-#: A text may be cut where a single space stands between two other characters: no piece reaches over it.
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+#: A text may be cut before a single space or line break between two other characters: no piece reaches over it.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)")
+#: White space that forbids to cut at every space.
+_WIDE = re.compile(r"\s\s|\A\s|\s\Z")
+#: Marks that are one piece where they end a word of letters.
+_MARKS = ".,;:!?"
 
 
 def _byte_symbols() -> dict[int, str]:
@@ -72,8 +77,10 @@ class ByteBpe:
         self.tokens = {i: bytes(back[c] for c in s) for s, i in vocab.items() if i not in self.special.values()} | {i: s.encode() for s, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.chunks: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.decimal = [str(i).encode() for i in range(max(self.tokens) + 1)]
+        # The ids of a piece or stretch: their number, the ids as decimals joined by commas, and the bytes they decode to.
+        self.known: dict[str, tuple[int, bytes, bytes]] = {}
+        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
         self.known_before, self.chunks_before = {}, {}
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -161,6 +168,10 @@ class ByteBpe:
             node, leaves = node >> 1, leaves >> 1
             tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
 
+    def _told(self, ids: Iterable[int]) -> tuple[int, bytes, bytes]:
+        decimal, tokens = self.decimal, self.tokens
+        return len(ids), b",".join([decimal[i] for i in ids]), b"".join([tokens[i] for i in ids])
+
     def _learn(self, pieces: Iterable[str]) -> None:
         """Encode the pieces that are not known yet, in groups of like length."""
         by: dict[int, list[str]] = {}
@@ -170,35 +181,75 @@ class ByteBpe:
             step = max(1, CELLS >> size)
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                if len(part) < FEW:
-                    self.known.update((p, self.merge_one(p.encode())) for p in part)
-                    continue
-                self.known.update(zip(part, self.merge([p.encode() for p in part]), strict=True))
-
-    def encode_batch(self, texts: list[str]) -> list[tuple[list[tuple[int, ...]], str]]:
-        """For each text, its ids in pieces, and the ids as decimals joined by commas."""
-        cut = [[c for part in (self.split_special.split(t) if self.split_special else [t]) if part for c in ([part] if part in self.special else _CUT.split(part))] for t in texts]
+                raw = [p.encode() for p in part]
+                found = [self.merge_one(p) for p in raw] if len(part) < FEW else self.merge(raw)
+                self.known.update(zip(part, map(self._told, found), strict=True))
+
+    def _cut(self, text: str) -> list[str]:
+        """The stretches of a text that are encoded by themselves."""
+        out = []
+        for part in self.split_special.split(text) if self.split_special else [text]:
+            if part in self.special:
+                out.append(part)
+            elif part and _WIDE.search(part):
+                out += _CUT.split(part)
+            elif part:
+                # The same cuts, faster: each word but the first keeps the space or line break before it.
+                words = part.replace("\n", " \n").split(" ")
+                out.append(words[0])
+                out += [w if w[0] == "\n" else " " + w for w in words[1:]]
+        return out
+
+    def _pieces(self, stretch: str) -> list[str]:
+        word = stretch[1:] if stretch[0] == " " else stretch
+        stem = word.rstrip(_MARKS)
+        if stem.isalpha():
+            # Letters, and marks after them, are what the pattern finds.
+            return [stretch] if len(stem) == len(word) else [stretch[: len(stem) - len(word)], word[len(stem) :]]
+        return self.pieces(stretch)
+
+    def stretches(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
+        """Each text as stretches: number of ids, the ids as decimals joined by commas, and what they decode to."""
+        # What is remembered has no cycles; looking for them again and again would take a fifth of the time.
+        gc.disable()
+        cut = [self._cut(t) for t in texts]
         if len(self.chunks) > MEMORY or len(self.known) > MEMORY:
             self.known_before, self.chunks_before, self.known, self.chunks = self.known, self.chunks, {}, {}
-        new = _recall(set(chain.from_iterable(cut)), self.chunks, self.chunks_before)
-        split = {c: [] if c in self.special else self.pieces(c) for c in new}
+        new = _recall(set().union(*cut), self.chunks, self.chunks_before)
+        split = {c: self._pieces(c) for c in new if c not in self.special}
         self._learn(_recall(set(chain.from_iterable(split.values())), self.known, self.known_before))
+        known = self.known
+        self.chunks.update((c, self._told((self.special[c],))) for c in new if c in self.special)
         for c, ps in split.items():
-            ids = (self.special[c],) if c in self.special else tuple(i for p in ps for i in self.known[p])
-            self.chunks[c] = ids, ",".join(map(str, ids))
+            if len(ps) == 1:
+                self.chunks[c] = known[ps[0]]
+            else:
+                counts, ids, decoded = zip(*map(known.__getitem__, ps), strict=True)
+                self.chunks[c] = sum(counts), b",".join(ids), b"".join(decoded)
+        get = self.chunks.__getitem__
+        out = [list(map(get, row)) for row in cut]
+        gc.enable()
+        return out
+
+    def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
+        """For each text the number of its ids, the ids as decimals joined by commas, and the bytes they decode to."""
         out = []
-        for row in cut:
-            found = [self.chunks[c] for c in row]
-            out.append(([ids for ids, _ in found], ",".join([s for _, s in found])))
+        for found in self.stretches(texts):
+            counts, ids, decoded = zip(*found, strict=True) if found else ((), (), ())
+            out.append((sum(counts), b",".join(ids), b"".join(decoded)))
         return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for ids in self.encode_batch([text])[0][0] for i in ids]
+        return _ids(self.encode_batch([text])[0][1])
 
     def decode(self, ids: Iterable[int]) -> str:
         return b"".join(map(self.tokens.__getitem__, ids)).decode("utf-8", "replace")
 
 
+def _ids(joined: bytes) -> list[int]:
+    return list(map(int, joined.split(b","))) if joined else []
+
+
 _loaded: dict[str, ByteBpe] = {}
 
 
@@ -232,10 +283,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
         for batch in batches:
             rows = []
             for texts in _small(batch):
-                for parts, joined in bpe.encode_batch(texts):
-                    flat = list(chain.from_iterable(parts))
-                    decoded = bpe.decode(flat)
-                    rows.append([len(flat), *([flat, decoded] if ids else []), *([hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] if digests else [])])
+                for n, joined, raw in bpe.encode_batch(texts):
+                    decoded = raw.decode("utf-8", "replace")
+                    rows.append([n, *([_ids(joined), decoded] if ids else []), *([hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] if digests else [])])
             yield pd.DataFrame(rows, columns=list(added))
 
     out = docs.drop(*added).withColumn("_encoded", work(F.col(text).cast("string")))
