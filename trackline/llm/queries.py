@@ -71,7 +71,7 @@ def op9_block_rule_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.remove_repeated(table(spark, sf_dir, "documents"), length=400, unit="bytes")
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
 def queries() -> dict:
