@@ -168,28 +168,44 @@ def test_short_lines_are_deduplicated_exactly(spark, tmp_path):
     assert got == {1: table[0][1], 2: "\n---\none two three five", 3: "", 4: "Read mores"}
 
 
-def test_simhash_counts_long_lines(spark):
+def test_simhash_is_the_majority_of_the_weighed_words(spark):
     import random as rnd
 
-    for n in (1, 5, 127, 128, 400):
-        words = [f"w{rnd.Random(i).randrange(50)}" for i in range(n)]
-        df = spark.createDataFrame([(words,)], "w array<string>").withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("v", lines.votes(F.col("h")))
-        r = df.select("h", lines.simhash(F.col("v"), F.size("w")).alias("s")).first()
+    for n in (1, 2, 5, 6, 14, 15, 40, 400):
+        words = [f"w{rnd.Random(i).randrange(10**4)}" for i in range(n)]
+        df = spark.createDataFrame([(words,)], "w array<string>").withColumn("o", lines.weighed(F.col("w")))
+        r = df.select("o", lines.simhash(F.col("o")).alias("s"), F.transform("o", lambda w: F.xxhash64(w)).alias("h")).first()
+        assert len(r.o) == min(len(set(words)), lines.WEIGHED) and r.o == sorted(r.o)
         ones = [sum(h >> b & 1 for h in r.h) for b in range(64)]
-        assert r.s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * ones[b] > n)
+        assert r.s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * ones[b] >= len(r.h))
 
 
 def test_fuzzy_line_links_need_the_edit_distance(spark):
-    base = prose(60, 11)
-    words = base.split()
-    words[30] = words[30] + "x"
-    near = " ".join(words)
-    df = spark.createDataFrame([(1, base), (2, near)], "doc_id long, text string")
-    h = df.select(F.transform(F.split(lines.normal_form(F.col("text")), " "), lambda w: F.xxhash64(w)).alias("h")).withColumn("v", lines.votes(F.col("h")))
-    a, b = (r.s for r in h.select(lines.simhash(F.col("v"), F.size("h")).alias("s")).collect())
-    linked = ((a ^ b) & (1 << 64) - 1).bit_count() <= lines.RADIUS
-    got = {r.doc_id: r.n_removed for r in lines.deduplicate_lines(df).collect()}
-    assert got == {1: 0, 2: int(linked)}
+    words = prose(60, 11).split()
+    near, far = list(words), list(words)
+    near[30] += "x"
+    # The same words in another order have equal codes, but many edits between them.
+    far = words[30:] + words[:30]
+    table = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))]
+    assert _distance(table[0][1], table[2][1]) * 100 > lines.EDITS * len(table[0][1])
+    got = {r.doc_id: r.n_removed for r in lines.deduplicate_lines(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0}
+
+
+def test_linked_groups_find_every_link_of_crowded_buckets(spark):
+    """Hundreds of items in one bucket, in groups that only their contents tell apart, against a plain version."""
+    from trackline.llm.common import linked_groups, materialise
+
+    n = 700
+    table = [(i, (i % 7,), [1, 2] if i % 3 else [1, 3]) for i in range(n)]
+    items = materialise(spark.createDataFrame(table, "item long, sig struct<s: int>, buckets array<long>"), "crowd")
+    near = lambda x, y: F.expr(f"{x}.s = {y}.s")
+    alike = lambda x, y: F.abs(F.col(x) - F.col(y)) <= 7
+    # Alike are i and i + 7 but for a gap, so each residue makes two chains.
+    full = lambda d: d.select("item", (F.col("item") + F.when(F.col("item") >= 350, 100).otherwise(0)).alias("full"))
+    got = {r.node: r.component for r in linked_groups(items, near, full, alike, "crowd").collect()}
+    want = {i: i % 7 if i < 350 else 350 + (i - 350) % 7 for i in range(n)}
+    assert got == want
 
 
 def _edited(words, share, rng):
@@ -259,6 +275,39 @@ def test_bpe_equals_the_library(docs, rows, empty):
     assert bpe.encode_documents(empty, path).count() == 0
 
 
+_HOSTILE = ["a", "B", "İ", "ı", "ſ", "Σ", "ß", "é", "e\u0301", "\u0958", "\ufb1d", "\u212b", "日", "😀", "7", "'s", "'", ",", ".", "!", "-", " ", " ", "  ", "\n", " \n", "\t", "\x1c", "\u00a0", "\u2003", "<|endoftext|>", "the", "Don"]
+
+
+def test_tokenizers_equal_the_library_on_hostile_strings():
+    tokenizers = pytest.importorskip("tokenizers")
+    r = random.Random(3)
+    texts = ["İ,", "İ.", "aİ!", "\u0958,", "\ufb1d.", ", a", "a\n\nb", "\na", "a\n"]
+    texts += ["".join(r.choice(_HOSTILE) for _ in range(r.randint(1, 12))) for _ in range(6000)]
+    path = public_vocabulary("byte_bpe_50k.json")
+    theirs, mine = tokenizers.Tokenizer.from_file(path), bpe.tokenizer(path)
+    for t, (n, joined, raw) in zip(texts, mine.encode_batch(texts), strict=True):
+        want = theirs.encode(t, add_special_tokens=False).ids
+        assert bpe._ids(joined) == want and n == len(want), t
+        assert raw.decode("utf-8", "replace") == theirs.decode(want, skip_special_tokens=False), t
+    path = public_vocabulary("word_bpe_49k.json")
+    theirs, mine = tokenizers.Tokenizer.from_file(path), packing.WordIds(path)
+    for t, raw in zip(texts, mine.encode_batch(texts), strict=True):
+        assert list(np.frombuffer(raw, "<u4")) == [*theirs.encode(t, add_special_tokens=False).ids, 0], t
+
+
+def test_crossover_improves_on_its_first_parent():
+    """Where best-fit decreasing wastes sequences, two islands with elite migration need fewer."""
+    for seed in range(3):
+        r = random.Random(seed)
+        sizes = [r.randint(400, 1000) for _ in range(600)]
+        first = packing._Bins(sizes, 2048)
+        first.put(sorted(range(len(sizes)), key=lambda i: -sizes[i]))
+        elites = [packing.evolve(sizes, 2048, [], seed + k) for k in range(2)]
+        best = packing.evolve(sizes, 2048, elites, seed + 2)
+        assert sorted(i for b in best for i in b) == list(range(len(sizes)))
+        assert all(sum(sizes[i] for i in b) <= 2048 for b in best) and len(best) < len(first.bins)
+
+
 def test_packing(docs, rows, empty):
     tokenizers = pytest.importorskip("tokenizers")
     path = public_vocabulary("word_bpe_49k.json")

@@ -109,33 +109,57 @@ def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     return labels
 
 
-#: Rounds in which the items of a bucket are held against one of them.
-STARS = 3
+#: Rounds in which the items of a bucket are held against a few of them, and how many these are.
+STARS, LEADS = 3, 4
+#: Items of one bucket that one task holds against each other; a larger bucket is dealt out in squares of this size.
+SQUARE = 256
 
 
-def linked_groups(members: DataFrame, sigs: DataFrame, near: Callable[[str, str], Column], contents: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], label: str) -> DataFrame:
+def _pair(x: DataFrame, on: str, sides: str) -> list[DataFrame]:
+    """x once for each side, every column named for it, and its key named by the side alone."""
+    return [x.select(F.col(on).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c != on]) for s in sides]
+
+
+def linked_groups(items: DataFrame, near: Callable[[str, str], Column], contents: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], label: str) -> DataFrame:
     """Components of the items that share a bucket and are alike.
 
-    members: bucket, item. sigs: item, sig (a struct). near(x, y) is a cheap necessary condition on two
-    columns of sigs. contents(items) gives item, full, and alike(x, y) decides on two columns of these.
-    All pairs of a bucket would grow with its square, so in a few rounds the items of a bucket are held
-    against one of its items only, another one each round, and only buckets whose items are not of one
-    component yet take part. What is left are items of different components; of these, rows that have a
-    near partner are found by a semi join, and only they meet each other with both conditions inside the
-    join. So every link is found, and no join puts out anything but rows of items or links.
+    items: item (long), sig (a struct), buckets (an array of different longs), in a table. near(x, y) is a cheap
+    necessary condition on two columns of sigs. contents(items) gives item, full, and alike(x, y) decides on two
+    columns of these; it is asked once, and only for items that the buckets leave open.
+
+    A bucket of two items is a pair, and buckets of the same items count once. All pairs of a larger bucket would
+    grow with its square, so in a few rounds each of its items is held against the first of a few others that it
+    is near to, and only buckets whose items are not of one component yet take part. What is left are items of
+    different components; of these, rows that have a near partner are found by a semi join, and only they meet
+    each other with both conditions inside the join, large buckets square by square. So every link is found, and
+    no join puts out anything but rows of items or links.
     Returns node, component for the items that have a link.
     """
-    shared = materialise(members.groupBy("bucket").agg(F.min("item").alias("p"), F.max("item").alias("q")).filter("p <> q").select("bucket"), label)
-    busy = materialise(members.join(shared, "bucket").select("bucket", "item"), label)
-    items = materialise(busy.select("item").distinct().join(sigs, "item").select("item", "sig"), label)
-    full = materialise(contents(items.select("item")), label)
-    discard(shared)
+    members = items.select(F.explode("buckets").alias("bucket"), "item")
+    sets = members.groupBy("bucket").agg(F.min("item").alias("p"), F.max("item").alias("q"), F.count("*").alias("n")).filter("n > 1")
+    sets = materialise(sets, label)
+    sigs = items.select("item", "sig")
+
+    def meet(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are near."""
+        x, y = _pair(sigs, "item", "ab")
+        return pairs.join(x, "a").join(y, "b").filter(near("sig_a", "sig_b")).select("a", "b")
+
+    twos = materialise(meet(sets.filter("n = 2").select(F.col("p").alias("a"), F.col("q").alias("b")).distinct()), label)
+    crowds = materialise(members.join(sets.filter("n > 2").select("bucket", "n"), "bucket").select("bucket", "n", "item"), label)
+    alone = crowds.groupBy("bucket", "n").agg(*[F.bit_xor(F.xxhash64(F.lit(k), "item")).alias(f"x{k}") for k in (1, 2)]).groupBy("n", "x1", "x2").agg(F.min("bucket").alias("bucket"))
+    busy = materialise(crowds.join(alone.select("bucket"), "bucket").join(sigs, "item").select("bucket", "n", "item", "sig"), label)
+    discard(sets, crowds)
+    open_items = materialise(twos.select(F.col("a").alias("item")).union(twos.select("b")).union(busy.select("item")).distinct(), label)
+    full = materialise(contents(open_items), label)
+    discard(open_items)
     edges: list[DataFrame] = []
     parts = None
 
-    def add(links: DataFrame) -> None:
+    def add(pairs: DataFrame) -> None:
         nonlocal parts
-        held = materialise(links, label)
+        x, y = _pair(full, "item", "ab")
+        held = materialise(pairs.join(x, "a").join(y, "b").filter(alike("full_a", "full_b")).select("a", "b"), label)
         if held.isEmpty():
             discard(held)
             return
@@ -145,41 +169,56 @@ def linked_groups(members: DataFrame, sigs: DataFrame, near: Callable[[str, str]
             discard(old)
 
     def open_rows() -> DataFrame:
-        """bucket, item, part: the buckets that more than one component shares."""
+        """busy with part: the buckets that more than one component shares."""
         if parts is None:
             return busy.withColumn("part", F.col("item"))
-        rest = busy.join(parts, F.col("item") == F.col("node"), "left").select("bucket", "item", F.coalesce("component", "item").alias("part"))
+        rest = busy.join(parts, F.col("item") == F.col("node"), "left").select(*busy.columns, F.coalesce("component", "item").alias("part"))
         mixed = rest.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p <> q").select("bucket")
-        return rest.join(mixed, "bucket").select("bucket", "item", "part")
-
-    def both(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-        x, y = (df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns]) for s in "xy")
-        return x, y
+        return rest.join(mixed, "bucket").select(*busy.columns, "part")
 
-    apart = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("part_x") != F.col("part_y"))
+    first = twos
     for star in range(STARS):
         rest = materialise(open_rows(), label)
         if rest.isEmpty():
             discard(rest)
             break
-        lead = rest.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(star), "item"), "item", "part")).alias("lead"))
-        lead = lead.select("bucket", F.col("lead.item").alias("b"), F.col("lead.part").alias("part_b"))
-        pairs = rest.join(lead, "bucket").filter("part <> part_b").select(F.least("item", "b").alias("a"), F.greatest("item", "b").alias("b")).distinct()
-        x, y = (items.select(F.col("item").alias(s), F.col("sig").alias(f"sig_{s}")) for s in "ab")
-        pairs = pairs.join(x, "a").join(y, "b").filter(near("sig_a", "sig_b")).select("a", "b")
-        x, y = (full.select(F.col("item").alias(s), F.col("full").alias(f"full_{s}")) for s in "ab")
-        add(pairs.join(x, "a").join(y, "b").filter(alike("full_a", "full_b")).select("a", "b"))
-        discard(rest)
-    rest = materialise(open_rows().join(items, "item").select("bucket", "item", "part", "sig"), label)
-    x, y = both(rest)
-    some = x.join(y, apart & near("sig_x", "sig_y"), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in rest.columns])
-    some = materialise(some, label)
-    if not some.isEmpty():
-        x, y = both(some.join(full, "item"))
-        links = x.join(y, apart & (F.col("item_x") < F.col("item_y")) & near("sig_x", "sig_y") & alike("full_x", "full_y"))
-        add(links.select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct())
-    discard(busy, items, full, rest, some, *edges)
+        lead = [F.min(F.struct(F.xxhash64(F.lit(LEADS * star + k), "item").alias("h"), "item", "part", "sig")) for k in range(LEADS)]
+        leads = materialise(rest.groupBy("bucket").agg(F.array(*lead).alias("leads")), label)
+        met = rest.join(leads, "bucket")
+        # The first lead that an item is near to and not yet one with.
+        chosen = F.coalesce(*[F.when((F.col("part") != F.col("leads")[k]["part"]) & near("sig", f"leads[{k}].sig"), F.col("leads")[k]["item"]) for k in range(LEADS)])
+        pairs = met.select("item", chosen.alias("to")).filter("`to` IS NOT NULL").select(F.least("item", "to").alias("a"), F.greatest("item", "to").alias("b"))
+        add((pairs if first is None else pairs.union(first)).distinct())
+        first = None
+        discard(rest, leads)
+    if first is not None:
+        add(first)
+    rest = open_rows()
+    squares = F.ceil(F.col("n") / SQUARE).cast("int")
+    rest = rest.select("bucket", "item", "part", "sig", squares.alias("of"), F.pmod(F.xxhash64("item"), squares).cast("int").alias("own"))
+    rest = materialise(rest, label)
+    if not rest.isEmpty():
+        others = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+
+        def both(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+            x, y = df.withColumn("i", F.col("own")).withColumn("j", others), df.withColumn("j", F.col("own")).withColumn("i", others)
+            return tuple(d.select(*[F.col(c).alias(f"{c}_{s}") for c in d.columns]) for d, s in ((x, "x"), (y, "y")))
+
+        x, y = both(rest)
+        apart = (F.col("bucket_x") == F.col("bucket_y")) & (F.col("i_x") == F.col("i_y")) & (F.col("j_x") == F.col("j_y")) & (F.col("part_x") != F.col("part_y"))
+        some = x.join(y, apart & near("sig_x", "sig_y"), "left_semi").select(*[F.col(f"{c}_x").alias(c) for c in rest.columns])
+        some = materialise(some.dropDuplicates(["bucket", "item"]), label)
+        if not some.isEmpty():
+            x, y = both(some.join(full, "item"))
+            links = x.join(y, apart & (F.col("item_x") < F.col("item_y")) & near("sig_x", "sig_y") & alike("full_x", "full_y"))
+            held = materialise(links.select(F.col("item_x").alias("a"), F.col("item_y").alias("b")).distinct(), label)
+            if not held.isEmpty():
+                edges.append(held)
+                old, parts = parts, connected(reduce(DataFrame.union, edges), label)
+                if old is not None:
+                    discard(old)
+        discard(some)
+    discard(busy, full, twos, rest, *edges)
     if parts is None:
-        kind = members.schema["item"].dataType.simpleString()
-        return members.sparkSession.createDataFrame([], f"node {kind}, component {kind}")
+        return items.sparkSession.createDataFrame([], "node long, component long")
     return parts

@@ -19,13 +19,15 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trackline.llm.common import linked_groups, materialise
+from trackline.llm.common import discard, linked_groups, materialise
 
 #: MinHash samples of a text, at most.
 SAMPLES = 252
@@ -150,16 +152,16 @@ def sketch_limit(threshold: int) -> int:
 
 
 def _full_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, wanted: DataFrame) -> DataFrame:
-    """item, full (the set) of the wanted items, from the documents that stand for them."""
+    """item, full (the set) of the wanted items (item, of, stands), from the documents that stand for them."""
 
     def collect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"item": [_item(s) for s in sets], "wanted": batch["item"], "values": [s.view(np.int64) for s in sets]})
+            yield pd.DataFrame({"item": batch["item"], "same": [_item(s) == o for s, o in zip(sets, batch["of"], strict=True)], "values": [s.view(np.int64) for s in sets]})
 
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("stands"))).select("text", "item")
-    found = rows.mapInPandas(collect, "item binary, wanted binary, values array<long>").filter("item = wanted")
+    rows = rows.join(wanted, F.col("_id").eqNullSafe(F.col("stands"))).select("text", "item", "of")
+    found = rows.mapInPandas(collect, "item long, same boolean, values array<long>").filter("same")
     return found.select("item", F.col("values").alias("full")).dropDuplicates(["item"])
 
 
@@ -169,28 +171,32 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Documents with 100 |A & B| >= threshold |A | B| are linked; a component is named by its smallest id,
     whose document is kept.
     """
-    signed = materialise(signatures(docs, doc_id, text, shingle, threshold), "neardup-signatures")
-    full = signed.filter("item IS NOT NULL")
-    items = materialise(full.groupBy(F.col("item").alias("of")).agg(F.min("doc_id").alias("stands")), "neardup-stands")
+    signed = materialise(signatures(docs, doc_id, text, shingle, threshold).withColumn("row", F.monotonically_increasing_id()), "neardup-signatures")
+    # One row stands for all of equal sets, and its number for the set.
+    stands = materialise(signed.filter("item IS NOT NULL").groupBy(F.col("item").alias("of")).agg(F.min("row").alias("unit")), "neardup-stands")
     sig = F.struct(F.col("n_shingles").alias("n"), *[F.col("sketch")[k].alias(f"s{k}") for k in range(WORDS)])
-    one = materialise(full.join(items, (F.col("item") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("stands"))).select("item", sig.alias("sig"), "stands", "bands").dropDuplicates(["item"]), "neardup-items")
-    members = one.select(F.explode("bands").alias("bucket"), "item")
+    one = signed.join(stands, F.col("row") == F.col("unit")).select(F.col("unit").alias("item"), F.col("item").alias("of"), "doc_id", sig.alias("sig"), F.col("bands").alias("buckets"))
+    one = materialise(one, "neardup-items")
     limit = sketch_limit(threshold)
 
     def near(x: str, y: str) -> Column:
-        differ = sum((F.bit_count(F.col(x)[f"s{k}"].bitwiseXOR(F.col(y)[f"s{k}"])) for k in range(1, WORDS)), F.bit_count(F.col(x)["s0"].bitwiseXOR(F.col(y)["s0"])))
-        small, large = F.least(F.col(x)["n"], F.col(y)["n"]), F.greatest(F.col(x)["n"], F.col(y)["n"])
-        return (small * 100 >= large * threshold) & (differ <= limit)
+        x, y = F.expr(x), F.expr(y)
+        differ = reduce(add, [F.bit_count(x[f"s{k}"].bitwiseXOR(y[f"s{k}"])) for k in range(WORDS)])
+        return (F.least(x["n"], y["n"]) * 100 >= F.greatest(x["n"], y["n"]) * threshold) & (differ <= limit)
 
     def contents(items: DataFrame) -> DataFrame:
-        return _full_sets(docs, doc_id, text, shingle, one.join(items, "item").select("item", "stands"))
+        return _full_sets(docs, doc_id, text, shingle, one.join(items, "item").select("item", "of", F.col("doc_id").alias("stands")))
 
     def alike(x: str, y: str) -> Column:
         # 100 |A & B| >= t |A | B|, with |A | B| = |A| + |B| - |A & B|.
         return F.size(F.array_intersect(x, y)) * (100 + threshold) >= (F.size(x) + F.size(y)) * threshold
 
-    parts = linked_groups(members, one.select("item", "sig"), near, contents, alike, "neardup")
-    named = materialise(signed.select("doc_id", "n_shingles", "item").join(parts, F.col("item") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "item").alias("part")), "neardup-parts")
+    parts = linked_groups(one.select("item", "sig", "buckets"), near, contents, alike, "neardup")
+    discard(one)
+    groups = stands.join(parts, F.col("unit") == F.col("node"), "left").select("of", F.coalesce("component", "unit").alias("part"))
+    groups = materialise(groups, "neardup-groups")
+    named = materialise(signed.select("doc_id", "n_shingles", "item").join(groups, F.col("item") == F.col("of"), "left").select("doc_id", "n_shingles", "part"), "neardup-parts")
+    discard(signed, stands, parts, groups)
     # In a table of its own, so that a large component's side of the join can be split.
     names = materialise(named.filter("part IS NOT NULL").groupBy("part").agg(F.min("doc_id").alias("first")), "neardup-names")
     out = named.join(names, "part", "left").select("doc_id", "n_shingles", F.when(F.col("part").isNull(), F.col("doc_id")).otherwise(F.col("first")).alias("component_id"))
