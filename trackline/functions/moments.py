@@ -31,6 +31,20 @@ def needed_dates(variance: Column, target: float) -> Column:
     return F.ceil(variance / (target * target))
 
 
+def largest_means(df: DataFrame, value: str, by: list[str], k: int, level: float = 0.95) -> DataFrame:
+    """by..., mean, low, high of the k means furthest from zero."""
+    rows = mean_error(df, value, by, level).select(*by, "mean", "low", "high")
+    return rows.orderBy(F.abs("mean").desc(), *by).limit(k)
+
+
+def portfolio_errors(rows: DataFrame, target: float, level: float = 0.95) -> DataFrame:
+    """Adds to n, mean and variance of portfolios: the errors of mean and variance, z, the variance's interval, and the
+    dates needed until the mean's error is `target`."""
+    q = NormalDist().inv_cdf((1 + level) / 2)
+    rows = rows.withColumns({"se_mean": F.sqrt(F.col("variance") / F.col("n")), "se_variance": variance_error(F.col("variance"), F.col("n"))})
+    return rows.withColumns({"z": F.try_divide("mean", "se_mean"), "low": F.greatest(F.col("variance") - q * F.col("se_variance"), F.lit(0.0)), "high": F.col("variance") + q * F.col("se_variance"), "needed": needed_dates(F.col("variance"), target)})
+
+
 def histogram(df: DataFrame, value: str) -> DataFrame:
     """bin, low, high, n: bins of the width of Freedman and Diaconis."""
     q = df.filter(F.col(value).isNotNull()).agg(F.percentile(value, F.lit(0.25)).alias("q1"), F.percentile(value, F.lit(0.75)).alias("q3"), F.count("*").alias("m"), F.min(value).alias("a"), F.max(value).alias("b"))

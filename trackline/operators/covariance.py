@@ -3,7 +3,7 @@
 Each takes dense windows in long form, date, asset, ret, and any keys in `by` (a rebalance date, a model),
 and gives by..., i, j, cov for i <= j. A missing return counts as zero and an asset without any other
 return in the window is left out. Pairs of N assets over T dates are T N (N + 1) / 2 rows: fit for tens of
-assets; for hundreds use the packed kernels of trackline.operators.kernels.
+assets; for hundreds use the packed kernels of trackline.functions.kernels.
 """
 
 from __future__ import annotations
@@ -110,3 +110,9 @@ def frobenius(one: DataFrame, other: DataFrame, by: list[str] = []) -> DataFrame
     d = F.coalesce("cov", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))
     times = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0)
     return both.groupBy(*by).agg(F.sqrt(F.sum(times * d * d)).alias("frobenius"))
+
+
+def mean_loss(losses: DataFrame, value: str, burn_in: int) -> DataFrame:
+    """n, `value`_mean: the mean of a loss (rebal_date, value) over dates but the first `burn_in`."""
+    rows = losses.withColumn("_k", F.row_number().over(Window.orderBy("rebal_date"))).filter(F.col("_k") > burn_in)
+    return rows.agg(F.count("*").alias("n"), F.avg(value).alias(f"{value}_mean"))

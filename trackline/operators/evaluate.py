@@ -116,6 +116,13 @@ def scenario_summary(series: DataFrame, ann: int, by: list[str] = []) -> DataFra
     return total.join(years, by) if by else total.crossJoin(F.broadcast(years))
 
 
+def with_turnover(summary: DataFrame, weights: DataFrame, ann: int, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """A summary with turnover_ann and te_per_unit_turnover, from the weights by..., date, asset, weight."""
+    moved = turnover(weights, by, ann)
+    out = summary.join(moved, by, "left") if by else summary.crossJoin(F.broadcast(moved))
+    return out.withColumn("te_per_unit_turnover", F.try_divide("te_ann", "turnover_ann"))
+
+
 def yearly_series(series: DataFrame, ann: int, window: int, by: list[str] = []) -> DataFrame:  # noqa: B006
     """The yearly rows of a scenario. `te_expost` is the deviation of the rolling tracking error; `te_year` that
     of the year's active returns. Skew and kurtosis are the bias-corrected ones."""

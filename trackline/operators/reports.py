@@ -49,15 +49,21 @@ def sector_attribution(path: DataFrame, returns: DataFrame, sectors: DataFrame)
     return out.withColumns({"w_active": F.col("w_port") - F.col("w_bench"), "c_active": F.col("c_port") - F.col("c_bench")})
 
 
-def brinson(path: DataFrame, returns: DataFrame, sectors: DataFrame) -> DataFrame:
-    """sector, allocation, selection, interaction, linked over dates by the returns compounded before and after."""
+def brinson(path: DataFrame, returns: DataFrame, sectors: DataFrame, linking: str = "compound") -> DataFrame:
+    """sector, allocation, selection, interaction, linked over dates: by the returns compounded before and after
+    (compound), or by ratios of total to running growth (ratio)."""
     days = _sector_days(path, returns, sectors)
     whole = days.groupBy("date").agg(F.sum(F.col("wp") * F.col("rp")).alias("tp"), F.sum(F.col("wb") * F.col("rb")).alias("tb"))
     # One row a date: a narrow table, so its windows need no partition.
     w = Window.orderBy("date")
     before = F.coalesce(F.product(1 + F.col("tp")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0))
     after = F.coalesce(F.product(1 + F.col("tb")).over(w.rowsBetween(1, Window.unboundedFollowing)), F.lit(1.0))
-    rows = days.join(whole.withColumn("link", before * after), "date")
+    if linking == "ratio":
+        from trackline.operators.events import ratio_links
+
+        rows = days.join(whole.join(ratio_links(whole), "date"), "date")
+    else:
+        rows = days.join(whole.withColumn("link", before * after), "date")
     effect = {"allocation": (F.col("wp") - F.col("wb")) * (F.col("rb") - F.col("tb")), "selection": F.col("wb") * (F.col("rp") - F.col("rb")), "interaction": (F.col("wp") - F.col("wb")) * (F.col("rp") - F.col("rb"))}
     return rows.groupBy("sector").agg(*[F.sum(F.col("link") * e).alias(n) for n, e in effect.items()])
 

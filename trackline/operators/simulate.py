@@ -1,4 +1,4 @@
-"""Scenario grids and simulated processes with known covariances.
+"""Scenario grids and draws of exclusions.
 
 A grid is a DataFrame; what is done is taken off by an anti join, and new results are appended, so a run
 that stops goes on where it was. A scenario draws from numpy's generator with its own seed, so a result does
@@ -12,8 +12,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.functions import kernels
-
 
 def grid(spark: SparkSession, **axes: list) -> DataFrame:
     """The product of the axes: one row a scenario."""
@@ -32,75 +30,6 @@ def to_do(scenarios: DataFrame, done: DataFrame | None, keys: list[str]) -> Data
     return scenarios.join(done.filter("status = 'success'").select(*keys).distinct(), keys, "left_anti")
 
 
-def factor_covariance(n: int, rng: np.random.Generator, factors: int = 3, vol: float = 0.01, idio: float = 0.3) -> np.ndarray:
-    """A random factor covariance whose mean variance is vol squared."""
-    b = rng.normal(size=(n, factors))
-    s = b @ b.T + np.diag(idio * rng.lognormal(0, 0.5, n)) + 1e-8 * np.eye(n)
-    return s * vol**2 / np.diag(s).mean()
-
-
-def innovations(n: int, rows: int, rng: np.random.Generator, kind: str = "gaussian", df: float = 5.0) -> np.ndarray:
-    """Standard normal rows, or a Student mixture with one chi-squared draw a row."""
-    z = rng.normal(size=(rows, n))
-    return z if kind == "gaussian" else z / np.sqrt(rng.chisquare(df, rows) / df)[:, None]
-
-
-def _static(n: int, ratio: float, kind: str, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(seed)
-    truth = factor_covariance(n, rng)
-    rows = max(n // 2, round(n / ratio))
-    return innovations(n, rows, rng, kind) @ np.linalg.cholesky(truth).T, truth
-
-
-def _shock(n: int, ratio: float, kind: str, seed: int, keep: float = 0.98, noise: float = 0.2, factors: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Loadings and log idiosyncratic variances follow AR(1) paths; the truth is the last covariance."""
-    rng = np.random.default_rng(seed)
-    rows = max(n // 2, round(n / ratio))
-    b0, l0 = rng.normal(size=(n, factors)), rng.normal(0, 0.5, n)
-    b, lv, move = b0.copy(), l0.copy(), noise * np.sqrt(1 - keep**2)
-    shocks, out, s = innovations(n, rows, rng, kind), [], None
-    scale = 0.01**2 / np.mean((b0 * b0).sum(axis=1) + 0.3 * np.exp(l0))
-    for z in shocks:
-        b = b0 + keep * (b - b0) + move * rng.normal(size=b.shape)
-        lv = l0 + keep * (lv - l0) + move * rng.normal(size=n)
-        s = scale * (b @ b.T + np.diag(0.3 * np.exp(lv)))
-        out.append(np.linalg.cholesky(s) @ z)
-    return np.array(out), s
-
-
-PROCESSES = {"static": _static, "factor_shock": _shock}
-
-
-def loss_study(scenarios: DataFrame, models: list[str]) -> DataFrame:
-    """The scenarios (process, n, ratio, innovation, seed) with model, the four losses, status and error.
-
-    Each scenario is simulated once and seen by all models; a model that fails gives a row that says so.
-    """
-    names = ["frobenius", "spectral", "stein", "precision"]
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for s in batch.itertuples(index=False):
-                x, truth = PROCESSES[s.process](int(s.n), float(s.ratio), s.innovation, int(s.seed))
-                for m in models:
-                    try:
-                        found = kernels.losses(kernels.on_active(x, kernels.ESTIMATORS[m]), truth)
-                        out.append((*s, m, *[found[k] for k in names], "success", None))
-                    except Exception as e:  # noqa: BLE001  the row tells
-                        out.append((*s, m, None, None, None, None, "error", str(e)[:250]))
-            yield pd.DataFrame(out, columns=[*batch.columns, "model", *names, "status", "error"])
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in scenarios.schema) + ", model string, frobenius double, spectral double, stein double, precision double, status string, error string"
-    return scenarios.repartition(*scenarios.columns).mapInPandas(run, schema)
-
-
-def loss_summary(losses: DataFrame, by: list[str]) -> DataFrame:
-    """Means and deviations over seeds; a single seed has the deviation zero."""
-    names = ["frobenius", "spectral", "stein", "precision"]
-    return losses.filter("status = 'success'").groupBy(*by).agg(F.count("*").alias("seeds"), *[F.avg(n).alias(f"{n}_mean") for n in names], *[F.coalesce(F.stddev_samp(n), F.lit(0.0)).alias(f"{n}_std") for n in names])
-
-
 def exclusion_draws(assets: DataFrame, scenarios: DataFrame) -> DataFrame:
     """scenario, asset: what each scenario (scenario, share, seed) leaves out: floor(share n) assets, drawn by
     the scenario's own generator from the sorted names."""

@@ -56,3 +56,20 @@ def remap(rows: DataFrame, mapping: DataFrame, as_of) -> DataFrame:
     latest = mapping.filter(F.col("date") <= F.lit(as_of)).groupBy("id_global").agg(F.max_by("ticker", F.struct("date", "ticker")).alias("_latest"))
     any_ = mapping.groupBy("id_global").agg(F.max_by("ticker", F.struct("date", "ticker")).alias("_any"))
     return rows.join(latest, "id_global", "left").join(any_, "id_global", "left").withColumn("asset", F.coalesce("_latest", "_any", "id_global")).drop("_latest", "_any")
+
+
+def small_caps_as_of(caps: DataFrame, at: DataFrame, share: float) -> DataFrame:
+    """rebal_date, asset: the smallest ceil(share * n) by the last snapshot of caps (date, asset, cap) not after the date
+    of each row of `at` (rebal_date, date)."""
+    from trackline.operators import calendars
+
+    held = calendars.as_of(at.select("rebal_date", "date"), caps.withColumnRenamed("date", "eff_date"), [])
+    day = Window.partitionBy("rebal_date")
+    rows = held.withColumns({"_n": F.count("*").over(day), "_r": F.row_number().over(day.orderBy("cap", "asset"))})
+    return rows.filter(F.col("_r") <= F.ceil(F.col("_n") * share)).select("rebal_date", "asset")
+
+
+def without_tickers(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """The rows whose asset a file does not name; both are compared in their normal form."""
+    keys = named.select(normalise_ticker("asset").alias("_ticker")).distinct()
+    return rows.join(keys, normalise_ticker("asset") == F.col("_ticker"), "left_anti")

@@ -1,17 +1,18 @@
-"""Registered queries that run grouped matrix work, simulations or streams on the star schema.
+"""Registered queries that run grouped matrix work or streams on the star schema.
 
-Those without SQL are held against brute force in the tests.
+The kernels of those without SQL are tested by themselves; the README names the queries that have neither.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackline.functions import moments
 from trackline.operators import covariance, drift, evaluate, matrix, reports, simulate, universe
 from trackline.plans.registry import query
 from trackline.plans.relational import ANN, Panel, _out, _sql
+from trackline.sources.shared import stored
+from trackline.sources.tables import table
 from trackline.streaming import online
 
 #: The default models of a study.
@@ -110,10 +111,11 @@ def mc_economic(spark, sf_dir):
     p = Panel(spark, sf_dir)
     scenarios = simulate.grid(spark, share=[0.1, 0.3], seed=[0, 1, 2, 3]).withColumn("scenario", F.concat_ws("/", "share", "seed"))
     cov = _covariances(p, ["lw"])
-    left = simulate.exclusion_draws(p.bars, scenarios)
+    # Written, so that Spark sees its size and broadcasts it only while that is small.
+    left = stored(simulate.exclusion_draws(p.bars, scenarios), "exclusions")
     bench = p.quarter_starts.crossJoin(F.broadcast(scenarios.select("scenario")))
     keyed = bench.withColumn("key", F.concat_ws("|", "scenario", F.col("rebal_date").cast("string")))
-    kept = keyed.join(F.broadcast(left.withColumn("_x", F.lit(True))), ["scenario", "asset"], "left").withColumn("kept", F.col("_x").isNull())
+    kept = keyed.join(left.withColumn("_x", F.lit(True)), ["scenario", "asset"], "left").withColumn("kept", F.col("_x").isNull())
     covs = cov.join(keyed.select("key", "rebal_date").distinct(), "rebal_date").select("model", "key", "i", "j", "cov")
     solved = matrix.tracking_minimal(covs, kept.select("key", "asset", "weight", "kept"), None, "key")
     targets = solved.withColumns({"scenario": F.substring_index("key", "|", 1), "rebal_date": F.to_date(F.substring_index("key", "|", -1))}).select("scenario", "rebal_date", "asset", "weight")
@@ -122,23 +124,6 @@ def mc_economic(spark, sf_dir):
     return _out(evaluate.scenario_summary(series, ANN, ["scenario"]))
 
 
-def _scenarios(spark, sf_dir, process: str):
-    """As many seeds as the regions have nations, so that the study follows the data."""
-    n = Panel(spark, sf_dir).sectors.select(F.dense_rank().over(Window.orderBy("asset")).alias("seed"))
-    axes = [F.lit(process).alias("process"), F.lit(40).alias("n"), F.lit(0.5).alias("ratio"), F.lit("gaussian").alias("innovation"), F.col("seed").cast("long").alias("seed")]
-    return n.select(*axes)
-
-
-@query()
-def mc_stat_static_oracle(spark, sf_dir):
-    return _out(simulate.loss_summary(simulate.loss_study(_scenarios(spark, sf_dir, "static"), MODELS), ["process", "model"]), 8)
-
-
-@query()
-def mc_stat_factor_shock(spark, sf_dir):
-    return _out(simulate.loss_summary(simulate.loss_study(_scenarios(spark, sf_dir, "factor_shock"), MODELS), ["process", "model"]), 8)
-
-
 @query(_sql("SELECT asset AS model, idx AS seq, round(r2, 8) AS trace FROM (SELECT asset, idx, 0.06 * sum(power(ret, 2) * power(0.94, -idx)) OVER (PARTITION BY asset ORDER BY idx) * power(0.94, idx) AS r2 FROM (SELECT asset, idx, coalesce(ret, 0) AS ret FROM rets JOIN cal USING (date)))"))
 def ewma_online_stream(spark, sf_dir):
     """Each asset's variance, moved on bar by bar by a stream; the closed form is its SQL."""
@@ -189,22 +174,26 @@ def return_histogram(spark, sf_dir):
     return _out(moments.histogram(Panel(spark, sf_dir).rets, "ret").select("bin", "n", "low"))
 
 
-@query(_sql("""d AS (SELECT asset, n_nationkey AS k FROM (SELECT DISTINCT asset FROM bars) JOIN nation ON n_name = asset)
-SELECT asset || '/' || f AS scenario FROM (SELECT asset FROM d WHERE k % 3 <> 0), (VALUES ('M'), ('Q')) t(f)"""))
+@query("""
+WITH o AS (SELECT n_name AS asset, o_orderpriority AS freq, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+g AS (SELECT DISTINCT asset, freq FROM o), d AS (SELECT asset, freq FROM o GROUP BY ALL HAVING sum(v) >= 0.9 * (SELECT avg(s) FROM (SELECT sum(v) AS s FROM o GROUP BY asset, freq)))
+SELECT asset || '/' || freq AS scenario FROM g ANTI JOIN d USING (asset, freq)
+""")
 def scenario_grid_todo(spark, sf_dir):
-    """Scenarios of assets and frequencies whose run has not succeeded."""
-    names = Panel(spark, sf_dir).bars.select("asset").distinct()
-    grid = names.withColumn("freq", F.explode(F.array(F.lit("M"), F.lit("Q"))))
-    keys = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("asset"), "n_nationkey")
-    done = keys.filter("n_nationkey % 3 = 0").select("asset", F.explode(F.array(F.lit("M"), F.lit("Q"))).alias("freq"), F.lit("success").alias("status"))
-    done = done.unionByName(keys.filter("n_nationkey % 3 = 1").select("asset", F.lit("M").alias("freq"), F.lit("error").alias("status")))
-    return simulate.to_do(grid, done, ["asset", "freq"]).select(F.concat_ws("/", "asset", "freq").alias("scenario"))
+    """Scenarios of nations and priorities whose run has not succeeded; a run is a group of orders, and one of a
+    value well below the mean counts as failed."""
+    orders, customer, nation = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    runs = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey"))
+    runs = stored(runs.groupBy(F.col("n_name").alias("asset"), F.col("o_orderpriority").alias("freq")).agg(F.sum("o_totalprice").alias("v")), "runs")
+    mean = runs.agg(F.avg("v").alias("m"))
+    log = runs.crossJoin(F.broadcast(mean)).select("asset", "freq", F.when(F.col("v") >= 0.9 * F.col("m"), "success").otherwise("error").alias("status"))
+    return simulate.to_do(runs.select("asset", "freq"), log, ["asset", "freq"]).select(F.concat_ws("/", "asset", "freq").alias("scenario"))
 
 
 @query()
 def covariance_losses(spark, sf_dir):
     """Frobenius distance of each model's covariance to the rolling one, by date."""
-    cov = _covariances(Panel(spark, sf_dir), MODELS)
+    cov = stored(_covariances(Panel(spark, sf_dir), MODELS), "covariances")
     base = cov.filter("model = 'rolling'").drop("model")
     parts = [covariance.frobenius(cov.filter(F.col("model") == m), base, ["rebal_date"]).withColumn("model", F.lit(m)) for m in MODELS[1:]]
     return _out(parts[0].unionByName(parts[1]).unionByName(parts[2]), 8)

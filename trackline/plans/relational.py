@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trackline.operators import allocation, calendars, covariance, drift, evaluate, execution, reports, returns, universe
 from trackline.plans.registry import query
 from trackline.sources import panel as source
+from trackline.sources.shared import stored
 from trackline.sources.tables import table
 
 ANN = 12
@@ -53,7 +54,8 @@ class Panel:
     """What most queries start from."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, freq: str = "month"):
-        self.bars = source.bars(spark, sf_dir, freq)
+        # Lines and orders are read once; bars are a few thousand rows at any scale, and all else starts from them.
+        self.bars = stored(source.bars(spark, sf_dir, freq), "bars")
         self.sectors = source.sectors(spark, sf_dir)
         self.dense = returns.densify(self.bars)
         self.cal = calendars.calendar(self.bars)
