@@ -120,12 +120,13 @@ def _pair(x: DataFrame, on: str, sides: str) -> list[DataFrame]:
     return [x.select(F.col(on).alias(s), *[F.col(c).alias(f"{c}_{s}") for c in x.columns if c != on]) for s in sides]
 
 
-def linked_groups(items: DataFrame, near: Callable[[str, str], Column], contents: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column], label: str) -> DataFrame:
+def linked_groups(items: DataFrame, near: Callable[[str, str], Column], contents: Callable[[DataFrame], DataFrame | list[DataFrame]], alike: Callable[[str, str], Column], label: str) -> DataFrame:
     """Components of the items that share a bucket and are alike.
 
     items: item (long), sig (a struct), buckets (an array of different longs), in a table. near(x, y) is a cheap
-    necessary condition on two columns of sigs. contents(items) gives item, full, and alike(x, y) decides on two
-    columns of these; it is asked once, and only for items that the buckets leave open.
+    necessary condition on two columns of sigs. contents(items) gives item, full, as one table or as several to
+    be written one after another, and alike(x, y) decides on two columns of these; it is asked once, and only for items that the
+    buckets leave open.
 
     A bucket of two items is a pair, and buckets of the same items count once. All pairs of a larger bucket would
     grow with its square, so in a few rounds each of its items is held against the first of a few others that it
@@ -151,7 +152,9 @@ def linked_groups(items: DataFrame, near: Callable[[str, str], Column], contents
     busy = materialise(crowds.join(alone.select("bucket"), "bucket").join(sigs, "item").select("bucket", "n", "item", "sig"), label)
     discard(sets, crowds)
     open_items = materialise(twos.select(F.col("a").alias("item")).union(twos.select("b")).union(busy.select("item")).distinct(), label)
-    full = materialise(contents(open_items), label)
+    asked = contents(open_items)
+    fetched = [materialise(part, label) for part in (asked if isinstance(asked, list) else [asked])]
+    full = reduce(DataFrame.union, fetched)
     discard(open_items)
     edges: list[DataFrame] = []
     parts = None
@@ -218,7 +221,7 @@ def linked_groups(items: DataFrame, near: Callable[[str, str], Column], contents
                 if old is not None:
                     discard(old)
         discard(some)
-    discard(busy, full, twos, rest, *edges)
+    discard(busy, *fetched, twos, rest, *edges)
     if parts is None:
         return items.sparkSession.createDataFrame([], "node long, component long")
     return parts
