@@ -80,6 +80,72 @@ def test_garch_finds_its_process():
     assert kernels.fit_volatility("garch", np.zeros(50))["converged"] is False
 
 
+@pytest.mark.parametrize("kind", kernels.VOLATILITY)
+def test_higher_orders_of_zero_weight_are_the_simple_model(kind):
+    r = np.random.default_rng(1).normal(size=80)
+    names, theta, _ = kernels.volatility_model(kind)
+    theta = dict(zip(names, theta, strict=True)) | {"gamma": 0.05}
+    wide = kernels.volatility_model(kind, 2, 3)[0]
+    more = [theta.get(n.rstrip("1"), 0.0) if n[-1] not in "23" else 0.0 for n in wide]
+    simple = kernels.conditional_variance(kind, [theta[n] for n in names], r, 1.0)
+    assert np.allclose(simple, kernels.conditional_variance(kind, more, r, 1.0, 2, 3))
+
+
+def test_garch_orders_against_a_plain_recursion():
+    r = np.random.default_rng(2).normal(size=50)
+    omega, a, b, g = 0.1, [0.05, 0.1], [0.3, 0.2, 0.1], 0.07
+    v = []
+    for t in range(50):
+        at = lambda path, k: path[k] if k >= 0 else 1.0
+        new = omega + g * (t > 0 and r[t - 1] < 0) * r[t - 1] ** 2 + sum(c * at(r**2, t - 1 - k) for k, c in enumerate(a)) + sum(c * at(v, t - 1 - k) for k, c in enumerate(b))
+        v.append(new if t else 1.0)
+    assert np.allclose(v, kernels.conditional_variance("gjr", [omega, *a, *b, g], r, 1.0, 2, 3))
+
+
+def test_order_search_takes_the_least_criterion(spark):
+    r = np.random.default_rng(3).normal(size=60) * 0.02
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(60)]
+    rets = spark.createDataFrame([("x", d, float(c)) for d, c in zip(days, r, strict=True)], "asset string, date date, ret double")
+    fits = matrix.volatility_fits(rets, ["garch"], (1, 2), (1, 2))
+    all_fits = {(p, q): kernels.fit_volatility("garch", r, p, q) for p in (1, 2) for q in (1, 2)}
+    best = matrix.select_model(fits, "aic", ("asset", "model")).first()
+    assert (best.p, best.q) == min(all_fits, key=lambda k: (all_fits[k]["aic"], k))
+    assert len(all_fits[1, 2]["path"]) == 60 and set(all_fits[1, 2]["params"]) == {"omega", "alpha", "beta1", "beta2"}
+
+
+@pytest.mark.parametrize("volatility", ["ewma", "garch"])
+def test_dcc_steps_continue_the_fit(volatility):
+    x = window(7, 60, 3)
+    state = kernels.dcc_fit(x[:40], volatility=volatility)
+    q, var = state["q"], state["var"]
+    e = (x[40] - state["mu"]) / np.sqrt(var)
+    after = kernels.dcc_step(state, x[40])
+    a, b = state["a"], state["b"]
+    assert np.allclose(after["q"], (1 - a - b) * state["mean"] + a * np.outer(e, e) + b * q)
+    assert np.allclose(np.diag(kernels.dcc_covariance(after)), after["var"])
+    if volatility == "garch":
+        k = [0, 1, 2]
+        paths = [kernels.conditional_variance("garch", [state["omega"][c], state["alpha"][c], state["beta"][c]], np.append(x[:41, c] - state["mu"][c], 0), x[:40, c].var(ddof=1))[-1] for c in k]
+        assert np.allclose(paths, after["var"])
+
+
+def test_dcc_refits_step_from_each_fit(spark):
+    x = window(8, 31, 2)
+    days = [dt.date(2020, 1, 1) + dt.timedelta(k) for k in range(31)]
+    rets = spark.createDataFrame([(d, n, float(c)) for d, row in zip(days, x, strict=True) for n, c in zip("ab", row, strict=True)], "date date, asset string, ret double")
+    from trackline.operators import calendars
+
+    got = matrix.dcc_refits(rets, calendars.calendar(rets), 4, 20).collect()
+    assert len(got) == 11 * 3
+    found = {(r.date, r.i, r.j): (r.refit, r.cov) for r in got}
+    for refit, start in enumerate((20, 24, 28)):
+        state = kernels.dcc_fit(x[start - 20 : start])
+        for k in range(start, min(start + 4, 31)):
+            s = kernels.dcc_covariance(state)
+            assert found[days[k], "a", "b"][0] == refit and np.isclose(found[days[k], "a", "b"][1], s[0, 1])
+            state = kernels.dcc_step(state, x[k])
+
+
 def test_to_do_leaves_out_successes(spark):
     grid = simulate.grid(spark, model=["a", "b"], seed=[1, 2])
     done = spark.createDataFrame([("a", 1, "success"), ("b", 1, "error")], "model string, seed int, status string")

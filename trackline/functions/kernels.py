@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 
@@ -121,28 +123,84 @@ def _correlation(q: np.ndarray) -> np.ndarray:
     return q * d[:, None] * d[None, :]
 
 
-def dcc(x: np.ndarray, decay: float = 0.94, pairs=None) -> tuple[np.ndarray, float, float]:
-    """Dynamic conditional correlation (Engle 2002) on EWMA volatilities; (a, b) by the likelihood of a grid."""
+def _ewma_variances(x: np.ndarray, decay: float) -> np.ndarray:
+    """A variance for each row and one ahead; the first is the sample's."""
+    var = np.empty((len(x) + 1, x.shape[1]))
+    var[0] = x.var(axis=0, ddof=1)
+    for t in range(len(x)):
+        var[t + 1] = decay * var[t] + (1 - decay) * x[t] ** 2
+    return np.maximum(var, 1e-14)
+
+
+def _garch_variances(x: np.ndarray) -> tuple[np.ndarray, dict]:
+    """The same by a GARCH(1,1) of each column, and its parameters; columns that it can't be fitted to stay constant."""
+    n = x.shape[1]
+    var = np.repeat(np.maximum(x.var(axis=0, ddof=1), 1e-14)[None, :], len(x) + 1, axis=0)
+    own = {"mu": x.mean(axis=0), "omega": var[0].copy(), "alpha": np.zeros(n), "beta": np.zeros(n)}
+    for k in range(n):
+        fit = fit_volatility("garch", x[:, k])
+        if fit["params"]:
+            own["omega"][k], own["alpha"][k], own["beta"][k] = fit["params"]["omega"] * var[0, k], fit["params"]["alpha"], fit["params"]["beta"]
+            path = conditional_variance("garch", np.array([own["omega"][k], own["alpha"][k], own["beta"][k]]), np.append(x[:, k] - own["mu"][k], 0.0), var[0, k])
+            var[:, k] = np.maximum(path, 1e-14)
+    return var, own
+
+
+def dcc_fit(x: np.ndarray, decay: float = 0.94, volatility: str = "ewma", pairs=None) -> dict:
+    """Dynamic conditional correlation (Engle 2002): the state after the rows of x.
+
+    Volatilities are EWMA or GARCH(1,1) ones. (a, b) is the likeliest pair of a grid, then moved on from there
+    without derivatives. q and var are those of the row that follows x.
+    """
     x = np.nan_to_num(np.asarray(x, float))
-    var = np.empty_like(x)
-    var[0] = np.maximum(x.var(axis=0, ddof=1), 1e-14)
-    for t in range(1, len(x)):
-        var[t] = np.maximum(decay * var[t - 1] + (1 - decay) * x[t - 1] ** 2, 1e-14)
-    e = x / np.sqrt(var)
+    own: dict = {"mu": np.zeros(x.shape[1])}
+    if volatility == "garch":
+        var, own = _garch_variances(x)
+    elif volatility == "ewma":
+        var = _ewma_variances(x, decay)
+    else:
+        raise ValueError(f"unknown volatility {volatility!r}")
+    e = (x - own["mu"]) / np.sqrt(var[:-1])
     mean = positive_definite(_correlation(e.T @ e / len(e)), 1e-8)
-    best = (np.inf, 0.05, 0.9, mean)
-    grid = pairs or [(a, b) for a in (0.01, 0.03, 0.05, 0.08, 0.12) for b in (0.7, 0.8, 0.9, 0.95) if a + b < 1]
-    for a, b in grid:
+
+    def run(a: float, b: float) -> tuple[float, np.ndarray]:
         q, loss = mean, 0.0
         for v in e:
             r = positive_definite(_correlation(q), 1e-8)
             loss += np.linalg.slogdet(r)[1] + v @ np.linalg.solve(r, v)
             q = (1 - a - b) * mean + a * np.outer(v, v) + b * q
-        if loss < best[0]:
-            best = (loss, a, b, q)
-    _, a, b, q = best
-    sigma = np.sqrt(np.maximum(decay * var[-1] + (1 - decay) * x[-1] ** 2, 1e-14))
-    return _correlation(q) * sigma[:, None] * sigma[None, :], a, b
+        return loss, q
+
+    grid = pairs or [(a, b) for a in (0.01, 0.03, 0.05, 0.08, 0.12) for b in (0.7, 0.8, 0.9, 0.95) if a + b < 1]
+    a, b = min(grid, key=lambda p: run(*p)[0])
+    if pairs is None:
+        proper = lambda p: min(p) >= 0 and p[0] + p[1] < 0.9999
+        (a, b), _, _ = nelder_mead(lambda p: run(*p)[0] if proper(p) else 1e12, np.array([a, b]), 25, 0.01)
+    return own | {"volatility": volatility, "decay": decay, "a": float(a), "b": float(b), "mean": mean, "q": run(a, b)[1], "var": var[-1]}
+
+
+def dcc_covariance(state: dict) -> np.ndarray:
+    """The covariance that a state expects of the next row."""
+    sigma = np.sqrt(state["var"])
+    return _correlation(state["q"]) * sigma[:, None] * sigma[None, :]
+
+
+def dcc_step(state: dict, r: np.ndarray) -> dict:
+    """The state after one more row; parameters stay as they are."""
+    d = np.nan_to_num(np.asarray(r, float)) - state["mu"]
+    e = d / np.sqrt(state["var"])
+    a, b = state["a"], state["b"]
+    if state["volatility"] == "garch":
+        var = state["omega"] + state["alpha"] * d * d + state["beta"] * state["var"]
+    else:
+        var = state["decay"] * state["var"] + (1 - state["decay"]) * d * d
+    return state | {"q": (1 - a - b) * state["mean"] + a * np.outer(e, e) + b * state["q"], "var": np.maximum(var, 1e-14)}
+
+
+def dcc(x: np.ndarray, decay: float = 0.94, pairs=None, volatility: str = "ewma") -> tuple[np.ndarray, float, float]:
+    """The covariance expected after x, a and b."""
+    state = dcc_fit(x, decay, volatility, pairs)
+    return dcc_covariance(state), state["a"], state["b"]
 
 
 def stein(estimate: np.ndarray, truth: np.ndarray) -> float:
@@ -239,58 +297,101 @@ def nelder_mead(f, start: np.ndarray, rounds: int = 400, spread: float = 0.1) ->
     return scored[0][2], scored[0][0], False
 
 
-def conditional_variance(kind: str, theta: np.ndarray, r: np.ndarray, start: float) -> np.ndarray:
-    """Variance paths of the (1, 1) models by their published recursions."""
-    v = np.empty(len(r))
-    v[0] = start
-    if kind == "egarch":
-        omega, alpha, gamma, beta = theta
-        log = np.log(start)
-        for t in range(1, len(r)):
-            z = r[t - 1] / np.sqrt(v[t - 1])
-            log = min(max(omega + alpha * (abs(z) - np.sqrt(2 / np.pi)) + gamma * z + beta * log, -50), 50)
-            v[t] = np.exp(log)
-    elif kind == "aparch":
-        omega, alpha, gamma, beta, delta = theta
-        s = start ** (delta / 2)
-        for t in range(1, len(r)):
-            s = omega + alpha * (abs(r[t - 1]) - gamma * r[t - 1]) ** delta + beta * s
-            v[t] = s ** (2 / delta)
-    else:
-        omega, alpha, beta, gamma = [*theta, 0.0][:4]
-        for t in range(1, len(r)):
-            v[t] = omega + (alpha + gamma * (r[t - 1] < 0)) * r[t - 1] ** 2 + beta * v[t - 1]
-    return v
+def conditional_variance(kind: str, theta: np.ndarray, r: np.ndarray, start: float, p: int = 1, q: int = 1) -> np.ndarray:
+    """Variance paths of the models with p lags of returns and q of variances, by their published recursions.
 
+    The variance, its logarithm or its power s_t is omega + the sum of alpha_i times the shock i dates ago + the sum of
+    beta_j s_(t-j); signs count one date ago only. Before the sample, squares and variances are `start`.
+    """
+    theta, r = [float(c) for c in theta], [float(c) for c in r]
+    omega, alpha, rest = theta[0], theta[1 : 1 + p], theta[1 + p :]
+    gamma, power = 0.0, 2.0
+    if kind == "gjr":
+        beta, gamma = rest[:q], rest[q]
+    elif kind in ("egarch", "aparch"):
+        gamma, beta = rest[0], rest[1 : 1 + q]
+        power = rest[1 + q] if kind == "aparch" else power
+    else:
+        beta = rest
+    first = math.log(start) if kind == "egarch" else start ** (power / 2)
+    calm = math.sqrt(2 / math.pi)
+    usual = 0.0 if kind == "egarch" else first
+    s, v, shocks = [first], [start], []
+    for t in range(1, len(r)):
+        x, sign = r[t - 1], 0.0
+        if kind == "egarch":
+            z = x / math.sqrt(v[-1])
+            shock, sign = abs(z) - calm, gamma * z
+        elif kind == "aparch":
+            shock = abs(x) ** power
+            # The lags' common shock has no sign; that of one date ago has.
+            sign = alpha[0] * ((abs(x) - gamma * x) ** power - shock)
+        else:
+            shock, sign = x * x, gamma * x * x * (x < 0)
+        shocks.append(shock)
+        new = omega + sign
+        for i in range(p):
+            new += alpha[i] * (shocks[t - 1 - i] if i < t else usual)
+        for j in range(q):
+            new += beta[j] * (s[t - 1 - j] if j < t else first)
+        if kind == "egarch":
+            new = min(max(new, -50.0), 50.0)
+        s.append(new)
+        # A variance that is not positive ends the path; fits reject it.
+        if kind != "egarch" and not new > 0:
+            return np.array(v + [-1.0] * (len(r) - t))
+        v.append(math.exp(new) if kind == "egarch" else new ** (2 / power))
+    return np.array(v)
+
+
+#: The kinds of models.
+VOLATILITY = ("garch", "gjr", "egarch", "aparch")
+
+
+def volatility_model(kind: str, p: int = 1, q: int = 1):
+    """Names of the parameters, a start for returns of unit variance, and the region where the model is proper."""
+    if kind not in VOLATILITY or min(p, q) < 1:
+        raise ValueError(f"no model {kind!r} of order ({p}, {q})")
+    numbered = lambda c, n: [c] if n == 1 else [f"{c}{k}" for k in range(1, n + 1)]
+    alpha, beta = numbered("alpha", p), numbered("beta", q)
+    a, b = slice(1, 1 + p), slice(-q, None)
+    if kind == "garch":
+        names, start = ["omega", *alpha, *beta], [0.1] + [0.1 / p] * p + [0.8 / q] * q
+        proper = lambda c: c[0] > 0 and min(c[1:]) >= 0 and sum(c[1:]) < 0.9999
+    elif kind == "gjr":
+        names, start = ["omega", *alpha, *beta, "gamma"], [0.1] + [0.05 / p] * p + [0.8 / q] * q + [0.05]
+        proper = lambda c: c[0] > 0 and min(c[1:-1]) >= 0 and c[1] + c[-1] >= 0 and sum(c[1:-1]) + c[-1] / 2 < 0.9999
+    elif kind == "egarch":
+        names, start = ["omega", *alpha, "gamma", *beta], [0.0] + [0.1 / p] * p + [0.0] + [0.9 / q] * q
+        proper = lambda c: sum(abs(c[b])) < 0.9999
+    else:
+        names, start = ["omega", *alpha, "gamma", *beta, "delta"], [0.1] + [0.1 / p] * p + [0.0] + [0.8 / q] * q + [2.0]
+        inner = slice(2 + p, -1)
+        proper = lambda c: c[0] > 0 and min(c[a]) >= 0 and abs(c[1 + p]) < 1 and min(c[inner]) >= 0 and 0.3 < c[-1] < 4 and sum(c[a]) + sum(c[inner]) < 0.9999
+    return names, start, proper
 
-#: Parameters, a start for returns of unit variance, and the region where the model is proper.
-VOLATILITY = {
-    "garch": (("omega", "alpha", "beta"), (0.1, 0.1, 0.8), lambda p: p[0] > 0 and min(p[1:]) >= 0 and p[1] + p[2] < 0.9999),
-    "gjr": (("omega", "alpha", "beta", "gamma"), (0.1, 0.05, 0.8, 0.05), lambda p: p[0] > 0 and p[1] >= 0 and p[2] >= 0 and p[1] + p[3] >= 0 and p[1] + p[2] + p[3] / 2 < 0.9999),
-    "egarch": (("omega", "alpha", "gamma", "beta"), (0.0, 0.1, 0.0, 0.9), lambda p: abs(p[3]) < 0.9999),
-    "aparch": (("omega", "alpha", "gamma", "beta", "delta"), (0.1, 0.1, 0.0, 0.8, 2.0), lambda p: p[0] > 0 and p[1] >= 0 and abs(p[2]) < 1 and p[3] >= 0 and 0.3 < p[4] < 4 and p[1] + p[3] < 0.9999),
-}
 
+def fit_volatility(kind: str, r: np.ndarray, p: int = 1, q: int = 1) -> dict:
+    """Gaussian maximum likelihood on returns scaled to unit variance; conditional deviations are scaled back.
 
-def fit_volatility(kind: str, r: np.ndarray) -> dict:
-    """Gaussian maximum likelihood on returns scaled to unit variance; the last conditional deviation is scaled back."""
-    names, start, proper = VOLATILITY[kind]
+    path has the deviation of each finite return, sigma the last one."""
+    names, start, proper = volatility_model(kind, p, q)
     r = np.asarray(r, float)
     r = r[np.isfinite(r)]
     scale = r.std(ddof=1) if len(r) > 2 else 0.0
     if len(r) < 20 or not scale > 0:
-        return {"params": {}, "llf": None, "aic": None, "bic": None, "converged": False, "message": "too few or constant returns", "sigma": None}
+        return {"params": {}, "llf": None, "aic": None, "bic": None, "converged": False, "message": "too few or constant returns", "sigma": None, "path": []}
     y = (r - r.mean()) / scale
 
-    def loss(p: np.ndarray) -> float:
-        if not proper(p):
+    def loss(c: np.ndarray) -> float:
+        if not proper(c):
             return 1e12
-        v = conditional_variance(kind, p, y, 1.0)
+        v = conditional_variance(kind, c, y, 1.0, p, q)
         if not np.all(np.isfinite(v)) or v.min() <= 0:
             return 1e12
         return float(0.5 * np.sum(np.log(2 * np.pi) + np.log(v) + y * y / v))
 
-    p, least, done = nelder_mead(loss, np.array(start))
-    k, llf = len(p), -least
-    sigma = float(np.sqrt(conditional_variance(kind, p, y, 1.0)[-1]) * scale)
-    return {"params": dict(zip(names, map(float, p), strict=True)), "llf": llf, "aic": 2 * k - 2 * llf, "bic": k * float(np.log(len(y))) - 2 * llf, "converged": bool(done), "message": "" if done else "stopped at the limit of rounds", "sigma": sigma}
+    c, least, done = nelder_mead(loss, np.array(start), 400 + 100 * (p + q - 2))
+    k, llf = len(c), -least
+    path = np.sqrt(conditional_variance(kind, c, y, 1.0, p, q)) * scale
+    return {"params": dict(zip(names, map(float, c), strict=True)), "llf": llf, "aic": 2 * k - 2 * llf, "bic": k * float(np.log(len(y))) - 2 * llf, "converged": bool(done), "message": "" if done else "stopped at the limit of rounds", "sigma": float(path[-1]), "path": path.tolist()}

@@ -20,6 +20,11 @@ def _square(rows: pd.DataFrame, value: str = "ret", index: str = "date") -> tupl
     return list(wide.columns), wide.to_numpy(float)
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """rows by key over all shuffle partitions: fits take long for few bytes, so partitions must not be merged by size."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def covariances(windows: DataFrame, methods: list[str], by: str = "rebal_date") -> DataFrame:
     """model, by, i, j, cov (i <= j) of each window by each method; methods: names of kernels.ESTIMATORS."""
     kind = windows.schema[by].dataType.simpleString()
@@ -73,20 +78,57 @@ def tracking_minimal(cov: DataFrame, bench: DataFrame, excluded: DataFrame | Non
     return cov.groupBy("_key").cogroup(left.groupBy(by)).applyInPandas(solve, f"model string, {by} {kind}, asset string, weight double, te_ante double, var_ante double, n_kept long")
 
 
-def volatility_fits(returns: DataFrame, kinds: list[str]) -> DataFrame:
-    """asset, model, params, llf, aic, bic, converged, message, sigma: a fit for each asset and model."""
-    rows = returns.select("asset", "date", "ret", F.explode(F.array(*[F.lit(k) for k in kinds])).alias("model"))
+def volatility_fits(returns: DataFrame, kinds: list[str], ps: tuple[int, ...] = (1,), qs: tuple[int, ...] = (1,)) -> DataFrame:
+    """asset, model, p, q, params, llf, aic, bic, converged, message, sigma, path: a fit for each asset, model and order.
+
+    path holds the conditional deviation of each of the asset's returns, in the order of dates."""
+    each = lambda c, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(c)
+    rows = returns.select("asset", "date", "ret", each("model", kinds)).select("*", each("p", ps)).select("*", each("q", qs))
 
     def fit(key, rows: pd.DataFrame) -> pd.DataFrame:
-        found = kernels.fit_volatility(key[1], rows.sort_values("date")["ret"].to_numpy(float))
-        return pd.DataFrame([{"asset": key[0], "model": key[1]} | found])
+        asset, model, p, q = key
+        found = kernels.fit_volatility(model, rows.sort_values("date")["ret"].to_numpy(float), p, q)
+        return pd.DataFrame([{"asset": asset, "model": model, "p": p, "q": q} | found])
+
+    return _dealt(rows, "asset", "model", "p", "q").groupBy("asset", "model", "p", "q").applyInPandas(fit, "asset string, model string, p int, q int, params map<string,double>, llf double, aic double, bic double, converged boolean, message string, sigma double, path array<double>")
+
+
+def select_model(fits: DataFrame, criterion: str = "bic", by: tuple[str, ...] = ("asset",)) -> DataFrame:
+    """The fit of least criterion of each asset, or of each asset and model; ties go to the smaller order."""
+    what = [c for c in ("model", "p", "q", "llf", "aic", "bic", "sigma") if c not in by]
+    order = F.struct(criterion, *[c for c in ("model", "p", "q") if c not in by])
+    return fits.filter(F.col(criterion).isNotNull()).groupBy(*by).agg(F.min_by(F.struct(*what), order).alias("b")).select(*by, "b.*")
 
-    return rows.groupBy("asset", "model").applyInPandas(fit, "asset string, model string, params map<string,double>, llf double, aic double, bic double, converged boolean, message string, sigma double")
 
+def dcc_refits(returns: DataFrame, calendar: DataFrame, every: int, lookback: int, volatility: str = "ewma") -> DataFrame:
+    """refit, date, a, b, i, j, cov (i <= j): the covariance that the DCC model expects of each date.
+
+    The model is fitted to the `lookback` dates before each `every`th date, the first that has as many before it
+    included, and then takes one step a date up to the next fit. One group a fit; groups run in parallel.
+    """
+    at = calendar.select("date", "idx")
+    # A date belongs to its own segment, and to the lookbacks that reach it.
+    segment = lambda k: F.floor((k - lookback) / every)
+    first, last = F.greatest(segment(F.col("idx")), F.lit(0)), segment(F.col("idx") + lookback)
+    end = F.lit(at.agg(F.max("idx")).first()[0] or 0)
+    spans = at.withColumn("refit", F.explode(F.sequence(first, last))).withColumn("start", F.col("refit") * every + lookback)
+    spans = spans.filter((F.col("start") <= end) & (F.col("idx") >= F.col("start") - lookback)).select("date", "refit", (F.col("idx") >= F.col("start")).alias("ahead"))
+    rows = returns.select("date", "asset", "ret").join(spans, "date")
+    kind = returns.schema["date"].dataType.simpleString()
+
+    def follow(key, rows: pd.DataFrame) -> pd.DataFrame:
+        names, x = _square(rows)
+        ahead = rows.groupby("date")["ahead"].first().sort_index()
+        n = int((~ahead).sum())
+        state = kernels.dcc_fit(x[:n], volatility=volatility)
+        i, j = np.triu_indices(len(names))
+        at, out = np.array(names, object), []
+        for date, r in zip(ahead.index[n:], x[n:], strict=True):
+            out.append(pd.DataFrame({"refit": key[0], "date": date, "a": state["a"], "b": state["b"], "i": at[i], "j": at[j], "cov": kernels.dcc_covariance(state)[i, j]}))
+            state = kernels.dcc_step(state, r)
+        return pd.concat(out)
 
-def select_model(fits: DataFrame, criterion: str = "bic") -> DataFrame:
-    """The fit of least criterion of each asset."""
-    return fits.filter(F.col(criterion).isNotNull()).groupBy("asset").agg(F.min_by(F.struct("model", "llf", "aic", "bic", "sigma"), F.struct(criterion, "model")).alias("b")).select("asset", "b.*")
+    return _dealt(rows, "refit").groupBy("refit").applyInPandas(follow, f"refit long, date {kind}, a double, b double, i string, j string, cov double")
 
 
 def decay_scores(returns: DataFrame, start: int, decays: list[float]) -> DataFrame:

@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trackline.functions import moments
-from trackline.operators import covariance, drift, evaluate, matrix, reports, simulate, universe
+from trackline.functions import kernels, moments
+from trackline.operators import calendars, covariance, drift, evaluate, matrix, reports, simulate, universe
 from trackline.plans.registry import query
 from trackline.plans.relational import ANN, Panel, _out, _sql
 from trackline.sources.shared import stored
@@ -45,15 +45,39 @@ def ewma_lambda_qmv(spark, sf_dir):
     return _out(scores.crossJoin(F.broadcast(best)).select(F.round("decay", 3).alias("decay"), "score", (F.col("decay") == F.col("_best")).alias("best")), 4)
 
 
+@query()
+def cov_dcc_refit(spark, sf_dir):
+    p = Panel(spark, sf_dir)
+    return _out(matrix.dcc_refits(p.rets, calendars.calendar(p.bars), 12, 36), 8)
+
+
+@query()
+def cov_dcc_refit_garch(spark, sf_dir):
+    p = Panel(spark, sf_dir)
+    return _out(matrix.dcc_refits(p.rets, calendars.calendar(p.bars), 12, 36, "garch"), 8)
+
+
 @query()
 def garch_fit(spark, sf_dir):
-    fits = matrix.volatility_fits(Panel(spark, sf_dir).rets, ["garch", "gjr", "egarch", "aparch"])
+    fits = matrix.volatility_fits(Panel(spark, sf_dir).rets, list(kernels.VOLATILITY))
     return _out(fits.select("asset", "model", "llf", "aic", "bic", "converged", "sigma"), 4)
 
 
 @query()
 def garch_select(spark, sf_dir):
-    return _out(matrix.select_model(matrix.volatility_fits(Panel(spark, sf_dir).rets, ["garch", "gjr", "egarch", "aparch"])), 4)
+    return _out(matrix.select_model(matrix.volatility_fits(Panel(spark, sf_dir).rets, list(kernels.VOLATILITY))), 4)
+
+
+@query()
+def garch_order(spark, sf_dir):
+    fits = matrix.volatility_fits(Panel(spark, sf_dir).rets, ["garch", "gjr"], (1, 2, 3), (1, 2, 3))
+    return _out(matrix.select_model(fits, "aic", ("asset", "model")), 4)
+
+
+@query()
+def garch_sigma_path(spark, sf_dir):
+    fits = matrix.volatility_fits(Panel(spark, sf_dir).rets, ["garch"])
+    return _out(fits.select("asset", F.posexplode("path").alias("t", "sigma")), 8)
 
 
 def _targets(p: Panel, methods: list[str]):
