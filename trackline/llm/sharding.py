@@ -7,7 +7,8 @@ subtree and lowering it only moves keys out of it: keys elsewhere stay. A new sh
 own, so that one more shard takes rows only into itself. Built-in functions only.
 
 Defined results: a null key is a key like any other; equal keys share a shard; an empty table gives an
-empty table; added columns replace columns with their names.
+empty table; added columns replace columns with their names, and
+columns named _slot_block, _slot_row and _slot_first go.
 """
 
 from __future__ import annotations
@@ -82,10 +83,10 @@ def number_slots(df: DataFrame, keys: list[str], shard: str = "shard", to: str =
     """
     from pyspark.sql import Window
 
-    df = df.withColumn("_block", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(SLOT_BLOCKS)).cast("int"))
-    counts = df.groupBy(shard, "_block").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(shard, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    inside = Window.partitionBy(shard, "_block").orderBy(*keys)
-    out = df.withColumn("_row", F.row_number().over(inside)).join(counts, [shard, "_block"])
-    return out.withColumn(to, (F.col("_first") + F.col("_row") - 1).cast("long")).drop("_block", "_row", "_first")
+    df = df.drop("_slot_block", "_slot_row", "_slot_first").withColumn("_slot_block", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(SLOT_BLOCKS)).cast("int"))
+    counts = df.groupBy(shard, "_slot_block").agg(F.count("*").alias("_slot_n"))
+    before = Window.partitionBy(shard).orderBy("_slot_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(shard, "_slot_block", F.coalesce(F.sum("_slot_n").over(before), F.lit(0)).alias("_slot_first"))
+    inside = Window.partitionBy(shard, "_slot_block").orderBy(*keys)
+    out = df.withColumn("_slot_row", F.row_number().over(inside)).join(counts, [shard, "_slot_block"])
+    return out.withColumn(to, (F.col("_slot_first") + F.col("_slot_row") - 1).cast("long")).drop("_slot_block", "_slot_row", "_slot_first")
