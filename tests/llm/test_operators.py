@@ -61,6 +61,19 @@ def test_quality(docs, rows, empty):
     assert quality.ledger(empty).count() == 0
 
 
+def test_quality_versions_and_clashing_names(spark):
+    text = "\n".join(["the first line is said again here"] * 2 + [f"line {k} of some more words than that" for k in range(3)])
+    df = spark.createDataFrame([(text, 1, 2, 3)], "text string, _t int, _w int, _q_t int")
+    r = quality.ledger(df).first()
+    assert (r.n_lines, r.n_dup_lines, r["_t"], r["_w"]) == (5, 1, 1, 2) and "_q_t" not in r.asDict()
+    assert r.fail_bits >> 5 == 0
+    text = "\n".join(["the first line is said again here"] * 2 + ["the second line is also said again"] * 2 + ["a third one"])
+    r = quality.ledger(spark.createDataFrame([(text,)], "text string")).first()
+    assert (r.n_lines, r.n_dup_lines) == (5, 2) and r.fail_bits >> 5 == 1
+    only = spark.createDataFrame([(32,), (96,)], "fail_bits long").select(quality.verdict("prose/2").alias("v2"), quality.verdict("prose/3").alias("v3"))
+    assert [tuple(r) for r in only.collect()] == [(False, True), (False, False)]
+
+
 def test_repeated_window_words(spark):
     text = "a b c d e x a b c d e f a b c d e"
     r = quality.measure(spark.createDataFrame([(text,)], "text string")).first()
@@ -68,9 +81,10 @@ def test_repeated_window_words(spark):
 
 
 def test_sharding_moves_rows_only_into_the_new_shard(spark, empty):
-    df = spark.range(20000).withColumnRenamed("id", "doc_id")
+    df = spark.range(20000).withColumnRenamed("id", "doc_id").withColumn("_first", F.lit(7)).withColumn("_slot_first", F.lit(7))
     df = sharding.assign(sharding.assign(df, ["doc_id"], sharding.topology(8)), ["doc_id"], sharding.topology(9), "grown")
     got = sharding.number_slots(df, ["doc_id"]).toPandas()
+    assert list(got.columns) == ["shard", "doc_id", "_first", "grown", "slot"] and (got["_first"] == 7).all()
     assert set(got[got["shard"] != got["grown"]]["grown"]) == {8}
     sizes = got.groupby("shard").size()
     assert sizes.min() > 2200 and sizes.max() < 2800

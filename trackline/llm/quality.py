@@ -6,7 +6,7 @@ Built-in functions only.
 
 Defined results: a null or blank text has no words, so it fails `few_words`; rows are judged one by one,
 so repeated rows and ties get equal results; an empty table gives an empty ledger. Extra columns stay;
-a column with a name of the ledger is replaced.
+a column with a name of the ledger is replaced, and names that begin with _q_ go.
 """
 
 from __future__ import annotations
@@ -37,13 +37,15 @@ RULES = (
     Rule(2, "symbols", "n_symbols * 10 > n_words"),
     Rule(3, "short_words", "word_chars < 2 * n_words"),
     Rule(4, "long_words", "word_chars > 20 * n_words"),
-    Rule(5, "repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines"),
+    Rule(5, "repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines"),
+    Rule(6, "mostly_repeated_lines", "n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines"),
 )
 #: Policy versions by name; a version is never edited, a new one is added.
 POLICIES = {
     "base/1": ("few_words", "repeated_windows"),
     "prose/1": ("few_words", "repeated_windows", "symbols", "short_words"),
     "prose/2": ("few_words", "repeated_windows", "symbols", "short_words", "long_words", "repeated_lines"),
+    "prose/3": ("few_words", "repeated_windows", "symbols", "short_words", "long_words", "mostly_repeated_lines"),
 }
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -63,29 +65,29 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     A window is five adjacent words. Windows are hashed first: a text whose hashes all differ repeats
     none, and only the others (equal windows always have equal hashes) sort their real windows.
     """
-    keep = [c for c in docs.columns if c not in MEASURES]
-    t = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    t = t.withColumn("_w", F.when(_trimmed(F.col("_t")) == "", F.array().cast("array<string>")).otherwise(F.split(_trimmed(F.col("_t")), SPACE)))
-    t = t.withColumn("_l", F.filter(F.split("_t", "\n"), lambda x: _trimmed(x) != ""))
-    t = t.withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
-    starts = F.sequence(F.lit(0), F.size("_w") - WINDOW)
-    t = t.withColumn("_v", F.when(F.size("_w") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get("_h", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
+    keep = [c for c in docs.columns if c not in MEASURES and not c.startswith("_q_")]
+    t = docs.select(*keep, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_q_t"))
+    t = t.withColumn("_q_w", F.when(_trimmed(F.col("_q_t")) == "", F.array().cast("array<string>")).otherwise(F.split(_trimmed(F.col("_q_t")), SPACE)))
+    t = t.withColumn("_q_l", F.filter(F.split("_q_t", "\n"), lambda x: _trimmed(x) != ""))
+    t = t.withColumn("_q_h", F.transform("_q_w", lambda w: F.xxhash64(w)))
+    starts = F.sequence(F.lit(0), F.size("_q_w") - WINDOW)
+    t = t.withColumn("_q_v", F.when(F.size("_q_w") >= WINDOW, F.transform(starts, lambda i: F.xxhash64(*[F.get("_q_h", i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>")))
     t = t.select(
-        *keep, "_w",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        (F.size(F.array_distinct("_v")) < F.size("_v")).alias("_again"),
+        *keep, "_q_w",
+        F.size("_q_w").cast("long").alias("n_words"),
+        F.length(F.array_join("_q_w", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_q_t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.size("_q_l").cast("long").alias("n_lines"),
+        (F.size("_q_l") - F.size(F.array_distinct("_q_l"))).cast("long").alias("n_dup_lines"),
+        (F.size(F.array_distinct("_q_v")) < F.size("_q_v")).alias("_q_again"),
     )
-    whole = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_w", i + 1, WINDOW), " ").alias("v"), i.alias("i")))
-    t = t.withColumn("_s", F.when(F.col("_again"), F.sort_array(whole)))
-    same = lambda x, j: F.coalesce(F.get("_s", j)["v"] == x["v"], F.lit(False))
-    t = t.withColumn("_r", F.sort_array(F.transform(F.filter("_s", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])))
+    whole = F.transform(starts, lambda i: F.struct(F.array_join(F.slice("_q_w", i + 1, WINDOW), " ").alias("v"), i.alias("i")))
+    t = t.withColumn("_q_s", F.when(F.col("_q_again"), F.sort_array(whole)))
+    same = lambda x, j: F.coalesce(F.get("_q_s", j)["v"] == x["v"], F.lit(False))
+    t = t.withColumn("_q_r", F.sort_array(F.transform(F.filter("_q_s", lambda x, j: same(x, j - 1) | same(x, j + 1)), lambda x: x["i"])))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate("_r", start, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"), (i + WINDOW).alias("end")), lambda a: a["n"])
-    return t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_w", "_again", "_s", "_r")
+    covered = F.aggregate("_q_r", start, lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["end"], i)).alias("n"), (i + WINDOW).alias("end")), lambda a: a["n"])
+    return t.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop("_q_w", "_q_again", "_q_s", "_q_r")
 
 
 def ledger(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

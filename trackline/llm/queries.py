@@ -14,7 +14,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select(
         "doc_id", *quality.MEASURES, "fail_bits",
         quality.base_failed().alias("base_failed"),
-        (quality.verdict("base/1") & quality.verdict("prose/2")).alias("kept"),
+        (quality.verdict("base/1") & quality.verdict("prose/3")).alias("kept"),
     )
 
 
@@ -93,9 +93,9 @@ m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::
       FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, ((n_words < 10)::BIGINT + 2 * (100 * n_repeat_words > 20 * n_words)::BIGINT + 4 * (n_symbols * 10 > n_words)::BIGINT
         + 8 * (word_chars < 2 * n_words)::BIGINT + 16 * (word_chars > 20 * n_words)::BIGINT
-        + 32 * (n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines)::BIGINT)::BIGINT AS fail_bits FROM m)
+        + 32 * (n_lines > 3 AND 10 * n_dup_lines > 3 * n_lines)::BIGINT + 64 * (n_lines > 3 AND 10 * n_dup_lines > 5 * n_lines)::BIGINT)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, fail_bits,
-  (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept FROM f
+  (fail_bits & 3) <> 0 AS base_failed, (fail_bits & 95) = 0 AS kept FROM f
 """,
 }
 
