@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, html, lines, neardup, neighbours, packing, quality, sharding, suffixes
+from trackline.llm import archive, bpe, html, lines, merkle, neardup, neighbours, packing, quality, sharding, suffixes
 from trackline.sources.tables import table
 
 
@@ -74,6 +74,12 @@ def op10_suffix_radix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    some = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"text": lowered}, some)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
@@ -110,5 +116,35 @@ SELECT page_id, payload_bytes, payload_digest,
 """
 
 
+ORACLE["op11_merkle_manifest"] = """
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || source, '') AS grp, text,
+    coalesce(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '-') || coalesce(strlen(source)::VARCHAR || ':' || source, '-')
+      || coalesce(strlen(lang)::VARCHAR || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR)::VARCHAR || ':' || n_chars::VARCHAR, '-') AS head,
+    list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length(doc_id::VARCHAR) + 1),
+        lambda i: [ord(substr(doc_id::VARCHAR, i, 1))::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+      lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))) AS crc FROM documents),
+e AS (SELECT rid, doc_id, grp, sha256(head || coalesce(strlen(text)::VARCHAR || ':' || text, '-')) AS leaf,
+    CASE WHEN xor(crc, 4294967295) % 5 = 0 THEN sha256(head || coalesce(strlen(text)::VARCHAR || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) END AS other FROM d),
+num AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY grp) AS n FROM e),
+lv AS (SELECT 0 AS lvl, grp, idx, leaf AS h, n FROM num
+  UNION ALL SELECT lvl + 1, grp, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), max((n + 15) // 16) FROM lv WHERE n > 1 GROUP BY lvl, grp, idx // 16),
+kids AS (SELECT lvl, grp, idx // 16 AS p, list(h ORDER BY idx) AS hs FROM lv WHERE n > 1 GROUP BY lvl, grp, idx // 16),
+sub AS (SELECT grp, h AS subroot, row_number() OVER (ORDER BY grp) - 1 AS idx, count(*) OVER () AS n FROM lv WHERE n = 1),
+tl AS (SELECT 0 AS lvl, idx, subroot AS h, n FROM sub
+  UNION ALL SELECT lvl + 1, idx // 16, sha256(string_agg(h, '' ORDER BY idx)), max((n + 15) // 16) FROM tl WHERE n > 1 GROUP BY lvl, idx // 16),
+tk AS (SELECT lvl, idx // 16 AS p, list(h ORDER BY idx) AS hs FROM tl WHERE n > 1 GROUP BY lvl, idx // 16),
+f AS (SELECT rid, grp, 0 AS lvl, idx, coalesce(other, leaf) AS cur, '' AS sib FROM num
+  UNION ALL SELECT rid, f.grp, f.lvl + 1, idx // 16, sha256(array_to_string(hs[1:idx % 16] || [cur] || hs[idx % 16 + 2:], '')),
+    sib || array_to_string(hs[1:idx % 16] || hs[idx % 16 + 2:], '') FROM f JOIN kids k ON k.grp = f.grp AND k.lvl = f.lvl AND k.p = f.idx // 16),
+g AS (SELECT rid, grp, max_by(cur, lvl) AS cur, max_by(sib, lvl) AS sib FROM f GROUP BY rid, grp),
+u AS (SELECT rid, 0 AS lvl, idx, cur, sib FROM g JOIN sub USING (grp)
+  UNION ALL SELECT rid, u.lvl + 1, idx // 16, sha256(array_to_string(hs[1:idx % 16] || [cur] || hs[idx % 16 + 2:], '')),
+    sib || array_to_string(hs[1:idx % 16] || hs[idx % 16 + 2:], '') FROM u JOIN tk k ON k.lvl = u.lvl AND k.p = u.idx // 16),
+v AS (SELECT rid, max_by(cur, lvl) AS folded_root, sha256(max_by(sib, lvl)) AS proof_sha256 FROM u GROUP BY rid)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified
+FROM num JOIN v USING (rid) JOIN sub USING (grp) CROSS JOIN (SELECT h AS root FROM tl WHERE n = 1)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
