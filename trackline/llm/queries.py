@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, html, lines, merkle, neardup, neighbours, packing, quality, sharding, suffixes
+from trackline.llm import archive, bpe, html, lines, merkle, neardup, neighbours, packing, quality, sharding, suffixes, tokencount
 from trackline.sources.tables import table
 
 
@@ -80,6 +80,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], {"text": lowered}, some)
 
 
+def op12_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_vocabulary("byte_bpe_50k.json"), ["doc_id"])
+    return out.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
