@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trackline.llm import archive, bpe, html, lines, merkle, neardup, neighbours, packing, quality, sharding, suffixes, tokencount
+from trackline.llm import archive, bpe, html, lines, merkle, neardup, neighbours, packing, quality, sharding, suffixes, tokencount, whitening
 from trackline.sources.tables import table
 
 
@@ -85,6 +85,10 @@ def op12_pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op13_refined_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
