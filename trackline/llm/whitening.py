@@ -143,6 +143,8 @@ def eigenpairs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     eye, values = np.eye(len(v), dtype=wide), np.zeros(len(v), wide)
     for _ in range(ROUNDS):
         r, s = eye - x.T @ x, x.T @ a @ x
+        # Rounding makes it lopsided, and narrow gaps would magnify that.
+        s = (s + s.T) / 2
         values = np.diag(s) / (1 - np.diag(r))
         # What the vectors can't tell apart yet.
         blur = 2 * (np.linalg.norm((s - np.diag(values)).astype(float)) + np.linalg.norm(a.astype(float)) * np.linalg.norm(r.astype(float)))
@@ -163,7 +165,8 @@ def eigenpairs(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             x[:, block] = own
         if np.abs(step).max() < 1e-17:
             break
-    values = np.diag(x.T @ a @ x) / np.diag(x.T @ x)
+    x = x @ (3 * eye - x.T @ x) / 2
+    values = np.diag(x.T @ a @ x)
     order = np.argsort(-values, kind="stable")
     x = x[:, order] / np.sqrt(np.square(x[:, order]).sum(axis=0))
     x = x * np.sign(x[np.abs(x).argmax(axis=0), np.arange(len(v))])
