@@ -103,21 +103,6 @@ def ewma_step(s: np.ndarray, r: np.ndarray, decay: float) -> np.ndarray:
     return decay * s + (1 - decay) * np.outer(v, v)
 
 
-def decay_score(x: np.ndarray, decay: float, start: int, ridge: float = 1e-8, least: int = 2) -> float:
-    """Mean Gaussian quasi-likelihood of each date's returns under the covariance before it."""
-    x = np.asarray(x, float)
-    s, total, n = sample(x[:start]), 0.0, 0
-    for r in x[start:]:
-        live = np.isfinite(r)
-        if live.sum() >= least:
-            m = s[np.ix_(live, live)] + ridge * np.eye(live.sum())
-            sign, logdet = np.linalg.slogdet(m)
-            if sign > 0:
-                total, n = total - 0.5 * (logdet + r[live] @ np.linalg.solve(m, r[live])), n + 1
-        s = ewma_step(s, r, decay)
-    return total / n if n else -np.inf
-
-
 def _correlation(q: np.ndarray) -> np.ndarray:
     d = 1 / np.sqrt(np.maximum(np.diag(q), 1e-14))
     return q * d[:, None] * d[None, :]

@@ -131,21 +131,6 @@ def dcc_refits(returns: DataFrame, calendar: DataFrame, every: int, lookback: in
     return _dealt(rows, "refit").groupBy("refit").applyInPandas(follow, f"refit long, date {kind}, a double, b double, i string, j string, cov double")
 
 
-def decay_scores(returns: DataFrame, start: int, decays: list[float]) -> DataFrame:
-    """decay, score: the quasi-likelihood of each decay of the EWMA covariance, one task call a decay."""
-    rows = returns.select("date", "asset", "ret", F.explode(F.array(*[F.lit(float(d)) for d in decays])).alias("decay"))
-
-    def score(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, x = _square(rows)
-        return pd.DataFrame({"decay": [key[0]], "score": [kernels.decay_score(x, key[0], start)]})
-
-    return rows.groupBy("decay").applyInPandas(score, "decay double, score double")
-
-
-def best_decay(scores: DataFrame) -> DataFrame:
-    return scores.agg(F.max_by("decay", F.struct("score", "decay")).alias("decay"), F.max("score").alias("score"))
-
-
 def threshold_rebalances(series: DataFrame, by: list[str], threshold: float, window: int, ann: int, cooldown: int = 0) -> DataFrame:
     """by..., date, te: the dates on which the tracking error of the last `window` dates exceeds the threshold and
     no such date lies within the cooldown. Each decision depends on the last, so a scenario is one group."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trackline.functions import kernels, moments
-from trackline.operators import calendars, covariance, drift, evaluate, matrix, reports, simulate, universe
+from trackline.operators import calendars, covariance, decay, drift, evaluate, matrix, reports, simulate, universe
 from trackline.plans.registry import query
 from trackline.plans.relational import ANN, Panel, _out, _sql
 from trackline.sources.shared import stored
@@ -40,9 +40,10 @@ def cov_dcc(spark, sf_dir):
 
 @query()
 def ewma_lambda_qmv(spark, sf_dir):
-    scores = matrix.decay_scores(Panel(spark, sf_dir).rets, 36, [0.8 + 0.01 * k for k in range(20)])
-    best = matrix.best_decay(scores).select(F.col("decay").alias("_best"))
-    return _out(scores.crossJoin(F.broadcast(best)).select(F.round("decay", 3).alias("decay"), "score", (F.col("decay") == F.col("_best")).alias("best")), 4)
+    p = Panel(spark, sf_dir)
+    scores = stored(decay.scores(p.rets, p.cal, 24, least=10), "decay-scores")
+    best = scores.agg(F.max_by("decay", F.struct("score", -F.col("decay"))).alias("_best"))
+    return _out(scores.crossJoin(F.broadcast(best)).select(F.round("decay", 3).alias("decay"), "score", "n", (F.col("decay") == F.col("_best")).alias("best")), 4)
 
 
 @query()
