@@ -44,7 +44,7 @@ def test_joint_likelihood_and_projections_equal_numpy(spark):
     long = [(str(1000 + t), "abc"[k], None if (t, k) == (4, 2) else float(x[t, k])) for t in range(40) for k in range(3)]
     cov = moments.joint_mle(spark.createDataFrame(long, "date string, asset string, ret double"))
     got = {(r.i, r.j): r for r in cov.collect()}
-    frame = pd.DataFrame(x)
+    frame = pd.DataFrame(x.copy())
     frame.iloc[4, 2] = np.nan
     mean = frame.mean()
     sigma = (frame - mean).to_numpy().T @ (frame - mean).to_numpy() / 40
