@@ -11,6 +11,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from tools.compare import rows_of
 from trackline.operators import calendars, covariance, drift, evaluate, execution, returns, universe
 from trackline.plans import registry
@@ -149,3 +151,20 @@ def test_drawdown_and_moments(spark):
     r = x.select(*evaluate.moments(x["v"], "v")).first()
     assert math.isclose(r[0], 0.466920, abs_tol=1e-6) and math.isclose(r[1], -0.039214, abs_tol=1e-6)
     assert isinstance(pd.DataFrame(), pd.DataFrame)
+
+
+def test_as_of_meets_facts_by_equality_alone(spark):
+    """Dates before the first start and null dates go; keys are apart; repeated rows and facts all meet."""
+    rows = [(k, None if d is None else f"2020-01-{d:02d}") for k in ("a", "b", None) for d in (1, 5, 5, 9, None)]
+    facts = [("a", "2020-01-03", 1), ("a", "2020-01-05", 2), ("a", "2020-01-05", 3), ("b", "2020-01-09", 4)]
+    r = spark.createDataFrame(rows, "key string, date string").withColumn("date", F.to_date("date"))
+    f = spark.createDataFrame(facts, "key string, eff_date string, v int").withColumn("eff_date", F.to_date("eff_date"))
+    for keys in (["key"], []):
+        own = f if keys else f.drop("key")
+        got = calendars.as_of(r, own, keys)
+        assert "NestedLoop" not in got._jdf.queryExecution().toString() and "Cartesian" not in got._jdf.queryExecution().toString()
+        want = []
+        for k, d in rows:
+            held = [x for x in facts if d and x[1] <= d and (not keys or x[0] == k)]
+            want += [(k, d, x[1], x[2]) for x in held if x[1] == max(h[1] for h in held)]
+        assert sorted(((x.key, str(x.date), str(x.eff_date), x.v) for x in got.collect()), key=str) == sorted(want, key=str)

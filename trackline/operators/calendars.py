@@ -79,19 +79,17 @@ def valid_ranges(facts: DataFrame, keys: list[str], start: str, to: str = "until
 def as_of(rows: DataFrame, facts: DataFrame, keys: list[str], start: str = "eff_date", date: str = "date") -> DataFrame:
     """Join to each row the facts that hold at its date: the version of the latest start not after it.
 
-    All rows of a start form one version (a composition); the versions' ranges are equi-joined on keys if
-    there are any, else they are a small dimension.
+    All rows of a start form one version (a composition). Dates and starts, both without their rows, are put in one
+    line, along which the latest start is carried; so rows and facts meet by equality only, and facts that are
+    partitioned by their start are opened where a date needs them. Rows with a null key or before the first start go.
     """
-    versions = valid_ranges(facts.select(*keys, start).distinct(), keys, start)
-    held = facts.join(versions, [*keys, start])
-    on = (F.col(date) >= F.col(start)) & (F.col("until").isNull() | (F.col(date) < F.col("until")))
-    if not keys:
-        return rows.join(held, on).drop("until")
-    r = rows.alias("r")
-    h = held.withColumnsRenamed({k: f"_{k}" for k in keys})
-    for k in keys:
-        on = on & (F.col(k) == F.col(f"_{k}"))
-    return r.join(h, on).drop("until", *[f"_{k}" for k in keys])
+    line = rows.select(*keys, F.col(date).alias("_at"), F.lit(None).cast(facts.schema[start].dataType).alias("_start"), F.lit(True).alias("_asked")).distinct()
+    line = line.union(facts.select(*keys, F.col(start), F.col(start), F.lit(False)).distinct())
+    so_far = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_at", "_asked")
+    line = line.withColumn("_start", F.last("_start", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    line = line.filter("_asked AND _start IS NOT NULL AND _at IS NOT NULL").select(*keys, F.col("_at").alias(date), "_start")
+    held = facts.withColumnRenamed(start, "_start")
+    return rows.join(line, [*keys, date]).join(held, [*keys, "_start"]).select(*rows.columns, F.col("_start").alias(start), *[c for c in held.columns if c not in {*keys, "_start"}])
 
 
 def missing_as_of(rows: DataFrame, facts: DataFrame, start: str = "eff_date", date: str = "date") -> DataFrame:

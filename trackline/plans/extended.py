@@ -81,12 +81,12 @@ def cov_path_asof(spark, sf_dir):
 
 
 @query(_sql("""ws AS (SELECT max(date) AS rebal_date FROM cal GROUP BY date_trunc('month', date)), e AS (SELECT rebal_date, idx AS e FROM ws JOIN cal ON cal.date = rebal_date WHERE idx >= 51),
-win AS (SELECT rebal_date, r.date, asset, coalesce(ret, 0) AS ret FROM e JOIN cal c ON c.idx BETWEEN e - 51 AND e JOIN rets r ON r.date = c.date), wa AS (SELECT * FROM win WHERE asset IN ('NATION_1', 'NATION_6') AND (rebal_date, asset) IN (SELECT (rebal_date, asset) FROM win GROUP BY rebal_date, asset HAVING max(abs(ret)) > 0))
+win AS (SELECT rebal_date, r.date, asset, coalesce(ret, 0) AS ret FROM e JOIN cal c ON c.idx BETWEEN e - 51 AND e JOIN rets r ON r.date = c.date), wa AS (SELECT * FROM win WHERE (rebal_date, asset) IN (SELECT (rebal_date, asset) FROM win GROUP BY rebal_date, asset HAVING max(abs(ret)) > 0))
 SELECT x.rebal_date::VARCHAR AS rebal_date, x.asset AS i, y.asset AS j, round(covar_samp(x.ret, y.ret), 8) AS cov FROM wa x JOIN wa y ON x.rebal_date = y.rebal_date AND x.date = y.date AND x.asset <= y.asset GROUP BY ALL""", "week"))
 def cov_path_monthly_of_weeks(spark, sf_dir):
-    """Weekly returns, a covariance at the last week of each month, and of it the part between two assets."""
+    """Weekly returns, and a covariance of all assets at the last week of each month."""
     p = Panel(spark, sf_dir, "week")
-    path = covpath.compute(p.rets.filter(F.col("asset").isin("NATION_1", "NATION_6")), p.cal, 52, freq="M")
+    path = covpath.compute(p.rets, p.cal, 52, freq="M")
     return _out(path, 8)
 
 
@@ -97,13 +97,13 @@ def zero_variance_purge(spark, sf_dir):
 
 
 @query(_sql(_WIN + """ib AS (SELECT rebal_date, asset, covar_samp(ret, bench_ret) AS c FROM win JOIN series USING (date) GROUP BY ALL),
-own AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) / 625 AS v FROM roll GROUP BY rebal_date), cr AS (SELECT rebal_date, sum(c) / 25 AS c FROM ib JOIN tg USING (rebal_date, asset) GROUP BY rebal_date)
+own AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) / power((SELECT count(DISTINCT asset) FROM bars), 2) AS v FROM roll GROUP BY rebal_date), cr AS (SELECT rebal_date, sum(c) / (SELECT count(DISTINCT asset) FROM bars) AS c FROM ib JOIN tg USING (rebal_date, asset) GROUP BY rebal_date)
 SELECT rebal_date::VARCHAR AS rebal_date, round(v - 2 * c, 8) AS value FROM own JOIN cr USING (rebal_date)"""))
 def objective_vs_benchmark_returns(spark, sf_dir):
     p = Panel(spark, sf_dir)
     window = p.window(24)
     ib = window.join(p.series.select("date", "bench_ret"), "date").groupBy("rebal_date", "asset").agg(F.covar_samp("ret", "bench_ret").alias("cov_ib"))
-    a = p.quarter_starts.select("rebal_date", "asset", F.lit(1.0 / 25).alias("a"))
+    a = p.quarter_starts.select("rebal_date", "asset", p.equal.alias("a"))
     return _out(covpath.objective(covariance.rolling(window, ["rebal_date"]), ib, a), 8)
 
 
@@ -214,14 +214,14 @@ def allocation_period_returns(spark, sf_dir):
     return _out(events.period_returns(p.series, p.quarter_starts))
 
 
-@query(_sql(_ANTE + """own AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) / 625 AS va FROM roll JOIN tg x USING (rebal_date) JOIN tg y USING (rebal_date) WHERE x.asset = i AND y.asset = j GROUP BY rebal_date),
+@query(_sql(_ANTE + """own AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * cov) / power((SELECT count(DISTINCT asset) FROM bars), 2) AS va FROM roll JOIN tg x USING (rebal_date) JOIN tg y USING (rebal_date) WHERE x.asset = i AND y.asset = j GROUP BY rebal_date),
 ps AS (SELECT rebal_date, lead(rebal_date) OVER (ORDER BY rebal_date) AS u2 FROM (SELECT DISTINCT rebal_date FROM tg)),
 post AS (SELECT rebal_date, CASE WHEN count(port_ret) >= 5 THEN var_samp(port_ret) ELSE power(product(1 + port_ret) - 1, 2) / count(port_ret) END AS vp FROM ps JOIN act ON date >= rebal_date AND (u2 IS NULL OR date < u2) GROUP BY rebal_date),
 x AS (SELECT *, va / nullif(vp, 0) AS ratio FROM own JOIN post USING (rebal_date)) SELECT count(*) AS n, round(avg(least(greatest(ratio, 0), 5)), 4) AS clipped_ratio, round(avg(CASE WHEN ratio < 1 THEN 1.0 ELSE 0.0 END), 6) AS below, round(avg(va - vp) * 12, 8) AS bias_ann FROM x WHERE ratio IS NOT NULL"""))
 def calibration_portfolio(spark, sf_dir):
     """The portfolio's own variance, before and after."""
     p = Panel(spark, sf_dir)
-    a = p.quarter_starts.select("rebal_date", "asset", F.lit(1.0 / 25).alias("a"))
+    a = p.quarter_starts.select("rebal_date", "asset", p.equal.alias("a"))
     ante = covariance.quadratic(covariance.rolling(p.window(24), ["rebal_date"]), a, ["rebal_date"]).withColumnRenamed("variance", "var_ante")
     post = reports.realised_variance(p.series, p.quarter_starts.select("rebal_date"), "port_ret")
     clipped = ante.join(post, "rebal_date").select(F.least(F.greatest(F.try_divide("var_ante", "var_post"), F.lit(0.0)), F.lit(5.0)).alias("r")).agg(F.avg("r").alias("clipped_ratio"))
@@ -245,13 +245,13 @@ def mean_ci_top(spark, sf_dir):
     return _out(moments.largest_means(Panel(spark, sf_dir).rets, "ret", ["asset"], 10))
 
 
-@query(_sql("""d AS (SELECT date, sum(coalesce(ret, 0)) / 25 AS p FROM rets GROUP BY date), v AS (SELECT count(*) AS n, avg(p) AS mean, var_samp(p) AS v FROM d)
+@query(_sql("""d AS (SELECT date, sum(coalesce(ret, 0)) / (SELECT count(DISTINCT asset) FROM bars) AS p FROM rets GROUP BY date), v AS (SELECT count(*) AS n, avg(p) AS mean, var_samp(p) AS v FROM d)
 SELECT n, round(mean, 6) AS mean, round(sqrt(v / n), 8) AS se_mean, round(mean / sqrt(v / n), 4) AS z, round(v, 8) AS variance, round(sqrt(2 * v * v / n), 8) AS se_variance, round(greatest(v - 1.959963984540054 * sqrt(2 * v * v / n), 0), 8) AS low, round(v + 1.959963984540054 * sqrt(2 * v * v / n), 8) AS high, ceil(v / 0.000001)::BIGINT AS needed FROM v"""))
 def portfolio_asymptotics(spark, sf_dir):
     """Errors of an equal portfolio's mean and variance from the covariance table."""
     p = Panel(spark, sf_dir)
     rows = p.rets.select(F.lit(1).alias("k"), "date", "asset", F.coalesce("ret", F.lit(0.0)).alias("ret"))
-    weights = p.rets.select("asset").distinct().select(F.lit(1).alias("k"), "asset", F.lit(1.0 / 25).alias("a"))
+    weights = p.rets.select("asset").distinct().select(F.lit(1).alias("k"), "asset", p.equal.alias("a"))
     v = covariance.quadratic(covariance.rolling(rows, ["k"]), weights, ["k"])
     mean = rows.join(weights, ["k", "asset"]).groupBy("k", "date").agg(F.sum(F.col("a") * F.col("ret")).alias("p")).groupBy("k").agg(F.count("*").alias("n"), F.avg("p").alias("mean"))
     out = moments.portfolio_errors(v.join(mean, "k"), 0.001)
@@ -279,9 +279,8 @@ def diagnostics_log(spark, sf_dir):
     return _out(events.flat_log(row, []))
 
 
-@query(_sql(f"SELECT {_D}, asset, round(last_value(ret IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date), 6) + 0 AS ret, (SELECT max(date) FROM cal c WHERE c.date < rets.date)::VARCHAR AS before FROM rets WHERE asset IN {_NAMES}"))
+@query(_sql(f"SELECT {_D}, asset, round(last_value(ret IGNORE NULLS) OVER (PARTITION BY asset ORDER BY date), 6) + 0 AS ret, (SELECT max(date) FROM cal c WHERE c.date < rets.date)::VARCHAR AS before FROM rets"))
 def carry_returns_with_calendar(spark, sf_dir):
     p = Panel(spark, sf_dir)
-    rows = slices.take(p.rets, assets=NAMES)
     before = calendars.shift(p.cal.select("date"), p.cal, -1).withColumnRenamed("shifted", "before")
-    return _out(evaluate.carry_forward(rows, "ret", ["asset"]).join(before, "date"))
+    return _out(evaluate.carry_forward(p.rets, "ret", ["asset"]).join(before, "date"))

@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from trackline.plans import estimation, extended, grouped, relational  # noqa: F401
+    from trackline.plans import estimation, extended, grouped, portfolio, relational  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackline.operators import allocation, calendars, covariance, drift, evaluate, execution, reports, returns, universe
@@ -60,6 +60,11 @@ class Panel:
         self.dense = returns.densify(self.bars)
         self.cal = calendars.calendar(self.bars)
 
+    @property
+    def equal(self) -> Column:
+        """The weight of each asset in an equal portfolio of all of them."""
+        return F.lit(1.0 / max(self.bars.select("asset").distinct().count(), 1))
+
     @property
     def rets(self) -> DataFrame:
         return returns.arithmetic(self.dense)
@@ -395,7 +400,7 @@ def cov_asset_benchmark(spark, sf_dir):
     return _out(covariance.with_benchmark(p.rets, p.series.select("date", "bench_ret")), 8)
 
 
-_ANTE = _WIN + """av AS (SELECT rebal_date, asset, 1.0 / 25 - weight AS a FROM tg),
+_ANTE = _WIN + """av AS (SELECT rebal_date, asset, 1.0 / (SELECT count(DISTINCT asset) FROM bars) - weight AS a FROM tg),
 ante AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * x.a * y.a * cov) AS variance FROM roll JOIN av x USING (rebal_date) JOIN av y USING (rebal_date) WHERE x.asset = i AND y.asset = j GROUP BY rebal_date),
 """
 
@@ -403,7 +408,7 @@ ante AS (SELECT rebal_date, sum(CASE WHEN i = j THEN 1 ELSE 2 END * x.a * y.a *
 @query(_sql(_ANTE.rstrip().rstrip(",") + " SELECT rebal_date::VARCHAR AS rebal_date, round(sqrt(variance) * sqrt(12), 6) AS te_ante FROM ante"))
 def te_ex_ante_quadratic(spark, sf_dir):
     p = Panel(spark, sf_dir)
-    a = p.quarter_starts.select("rebal_date", "asset", (F.lit(1.0 / 25) - F.col("weight")).alias("a"))
+    a = p.quarter_starts.select("rebal_date", "asset", (p.equal - F.col("weight")).alias("a"))
     v = covariance.quadratic(covariance.rolling(p.window(24), ["rebal_date"]), a, ["rebal_date"])
     return _out(v.select("rebal_date", (F.sqrt("variance") * F.sqrt(F.lit(12.0))).alias("te_ante")))
 
@@ -459,10 +464,11 @@ def inverse_vol_hierarchical(spark, sf_dir):
     return _out(allocation.inverse_volatility(p.window(24), p.sectors, ["rebal_date"]))
 
 
-@query(_sql("SELECT date::VARCHAR AS date, asset, round((0.7 * weight + 0.3 / 25) / sum(0.7 * weight + 0.3 / 25) OVER (PARTITION BY date), 6) AS weight FROM bench"))
+@query(_sql("SELECT date::VARCHAR AS date, asset, round((0.7 * weight + 0.3 / (SELECT count(DISTINCT asset) FROM bars)) / sum(0.7 * weight + 0.3 / (SELECT count(DISTINCT asset) FROM bars)) OVER (PARTITION BY date), 6) AS weight FROM bench"))
 def core_satellite_blend(spark, sf_dir):
-    bench = Panel(spark, sf_dir).bench.select("date", "asset", "weight")
-    return _out(allocation.blend(bench, bench.withColumn("weight", F.lit(1.0 / 25)), 0.7))
+    p = Panel(spark, sf_dir)
+    bench = p.bench.select("date", "asset", "weight")
+    return _out(allocation.blend(bench, bench.withColumn("weight", p.equal), 0.7))
 
 
 _SHARES = """tgt AS (SELECT date, asset, weight, price FROM bench JOIN filled USING (date, asset)), w1 AS (SELECT *, CASE WHEN weight >= 0.02 AND price > 0 THEN weight ELSE 0 END AS w FROM tgt),
@@ -503,19 +509,19 @@ SELECT count(*) AS n, round(avg(ratio), 4) AS mean_ratio, round(stddev_samp(rati
 def variance_calibration(spark, sf_dir):
     p = Panel(spark, sf_dir)
     at = p.quarter_starts
-    a = at.select("rebal_date", "asset", (F.lit(1.0 / 25) - F.col("weight")).alias("a"))
+    a = at.select("rebal_date", "asset", (p.equal - F.col("weight")).alias("a"))
     ante = covariance.quadratic(covariance.rolling(p.window(24), ["rebal_date"]), a, ["rebal_date"]).withColumnRenamed("variance", "var_ante")
     post = reports.realised_variance(p.series.withColumn("active", evaluate.active()), at.select("rebal_date"), "active")
     out = reports.calibration(ante, post, ANN)
     return out.select("n", F.round("mean_ratio", 4).alias("mean_ratio"), F.round("std_ratio", 4).alias("std_ratio"), F.round("below", 6).alias("below"), F.round("above", 6).alias("above"), F.round("bias_ann", 8).alias("bias_ann"))
 
 
-_SECTOR = """pa AS (SELECT date, asset, 1.0 / 25 AS wp, weight AS wb FROM bench), sd AS (SELECT date, sector, sum(wp) AS wp, sum(wb) AS wb, coalesce(sum(wp * coalesce(ret, 0)) / nullif(sum(wp), 0), 0) AS rp, coalesce(sum(wb * coalesce(ret, 0)) / nullif(sum(wb), 0), 0) AS rb
+_SECTOR = """pa AS (SELECT date, asset, 1.0 / (SELECT count(DISTINCT asset) FROM bars) AS wp, weight AS wb FROM bench), sd AS (SELECT date, sector, sum(wp) AS wp, sum(wb) AS wb, coalesce(sum(wp * coalesce(ret, 0)) / nullif(sum(wp), 0), 0) AS rp, coalesce(sum(wb * coalesce(ret, 0)) / nullif(sum(wb), 0), 0) AS rb
   FROM pa JOIN rets USING (date, asset) JOIN sectors USING (asset) GROUP BY ALL),"""
 
 
 def _paths(p: Panel) -> DataFrame:
-    return p.bench.select("date", "asset", F.lit(1.0 / 25).alias("wp"), F.col("weight").alias("wb"))
+    return p.bench.select("date", "asset", p.equal.alias("wp"), F.col("weight").alias("wb"))
 
 
 @query(_sql(_SECTOR + """bs AS (SELECT sector, avg(wp) AS w_port, avg(wb) AS w_bench, product(1 + rp) - 1 AS r_port, product(1 + rb) - 1 AS r_bench FROM sd GROUP BY sector), cs AS (SELECT *, w_port * r_port AS c_port, w_bench * r_bench AS c_bench FROM bs),
