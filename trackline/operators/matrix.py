@@ -189,3 +189,46 @@ def positions_backtest(targets: DataFrame, prices: DataFrame, by: list[str], val
         return pd.DataFrame(out, columns=[*by, "date", "nav", "cash", "n_trades"])
 
     return rows.groupBy(*by).applyInPandas(walk, f"{fields}, date date, nav double, cash double, n_trades long")
+
+
+def tracking_minimal_scenarios(cov: DataFrame, bench: DataFrame, excluded: DataFrame, scenarios: DataFrame, together: int = 256, by: str = "rebal_date") -> DataFrame:
+    """model, scenario, by, asset, weight, te_ante, var_ante, n_kept: tracking_minimal() for many sets of exclusions.
+
+    cov: model, by, i, j, cov; bench: by, asset, weight; excluded: scenario, asset; scenarios: scenario. A date's covariances
+    meet up to `together` scenarios, each a list of what it leaves out, in one group, so they are copied once for that
+    many scenarios and not for each.
+    """
+    kind, name = bench.schema[by].dataType.simpleString(), scenarios.schema["scenario"].dataType.simpleString()
+    chunks = max(1, -(-scenarios.count() // together))
+    out = excluded.groupBy("scenario").agg(F.collect_set("asset").alias("left"))
+    lists = scenarios.select("scenario").distinct().join(out, "scenario", "left").withColumn("chunk", F.pmod(F.xxhash64("scenario"), F.lit(chunks)).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk")
+    # One table of what a date shares, covariances and benchmark alike; the other of its scenarios.
+    shared = cov.select(F.col(by).alias("_key"), "model", "i", "j", "cov").unionByName(bench.select(F.col(by).alias("_key"), F.lit(None).cast("string").alias("model"), F.col("asset").alias("i"), F.lit(None).cast("string").alias("j"), F.col("weight").alias("cov")))
+    shared = shared.select("*", every)
+    asked = bench.select(F.col(by).alias("_key")).distinct().select("*", every).join(lists, "chunk")
+
+    def solve(key, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        columns = ["model", "scenario", by, "asset", "weight", "te_ante", "var_ante", "n_kept"]
+        none = pd.DataFrame({c: pd.Series([], dtype=object) for c in columns})
+        b = own[own["model"].isna() & (own["cov"] > 0)].sort_values("i")
+        if not len(b) or not len(asked):
+            return none
+        names = b["i"].to_numpy()
+        at, weight, found = {a: k for k, a in enumerate(names)}, b["cov"].to_numpy(float) / b["cov"].sum(), []
+        for model, c in own[own["model"].notna()].groupby("model", sort=True):
+            s = np.zeros((len(at),) * 2)
+            c = c[c["i"].isin(at) & c["j"].isin(at)]
+            i, j = c["i"].map(at).to_numpy(int), c["j"].map(at).to_numpy(int)
+            s[i, j] = s[j, i] = c["cov"].to_numpy()
+            for scenario, left in asked.sort_values("scenario")[["scenario", "left"]].itertuples(index=False):
+                kept = np.flatnonzero((np.diag(s) > 1e-12) & ~np.isin(names, [] if left is None else list(left)))
+                w = weight.copy()
+                if len(kept):
+                    w = np.zeros(len(at))
+                    w[kept] = kernels.minimise_tracking(s, weight, kept)
+                d = w - weight
+                found.append(pd.DataFrame({"model": model, "scenario": scenario, by: key[0], "asset": names, "weight": w, "te_ante": np.sqrt(max(d @ s @ d, 0)), "var_ante": w @ s @ w, "n_kept": len(kept)}))
+        return pd.concat(found) if found else none
+
+    return shared.groupBy("_key", "chunk").cogroup(asked.groupBy("_key", "chunk")).applyInPandas(solve, f"model string, scenario {name}, {by} {kind}, asset string, weight double, te_ante double, var_ante double, n_kept long")

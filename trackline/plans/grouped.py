@@ -132,18 +132,12 @@ def positions_backtest(spark, sf_dir):
 
 @query()
 def mc_economic(spark, sf_dir):
-    """Exclusion draws share one covariance a model and date: a scenario only chooses what may be held."""
+    """Exclusion draws share one covariance a model and date: a scenario is only a list of what may not be held."""
     p = Panel(spark, sf_dir)
     scenarios = simulate.grid(spark, share=[0.1, 0.3], seed=[0, 1, 2, 3]).withColumn("scenario", F.concat_ws("/", "share", "seed"))
-    cov = _covariances(p, ["lw"])
-    # Written, so that Spark sees its size and broadcasts it only while that is small.
     left = stored(simulate.exclusion_draws(p.bars, scenarios), "exclusions")
-    bench = p.quarter_starts.crossJoin(F.broadcast(scenarios.select("scenario")))
-    keyed = bench.withColumn("key", F.concat_ws("|", "scenario", F.col("rebal_date").cast("string")))
-    kept = keyed.join(left.withColumn("_x", F.lit(True)), ["scenario", "asset"], "left").withColumn("kept", F.col("_x").isNull())
-    covs = cov.join(keyed.select("key", "rebal_date").distinct(), "rebal_date").select("model", "key", "i", "j", "cov")
-    solved = matrix.tracking_minimal(covs, kept.select("key", "asset", "weight", "kept"), None, "key")
-    targets = solved.withColumns({"scenario": F.substring_index("key", "|", 1), "rebal_date": F.to_date(F.substring_index("key", "|", -1))}).select("scenario", "rebal_date", "asset", "weight")
+    solved = matrix.tracking_minimal_scenarios(_covariances(p, ["lw"]), p.quarter_starts, left, scenarios)
+    targets = solved.select("scenario", "rebal_date", "asset", "weight")
     port = drift.path_return(drift.drift(p.rets, targets, ["scenario"]), "port_ret", ["scenario"])
     series = port.join(drift.path_return(drift.drift(p.rets, p.quarter_starts), "bench_ret"), "date")
     return _out(evaluate.scenario_summary(series, ANN, ["scenario"]))

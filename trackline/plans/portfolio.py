@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from trackline.operators import allocation, universe
+from trackline.operators import allocation, backtest, calendars, universe
 from trackline.plans.registry import query
-from trackline.plans.relational import _CAPS, Panel, _out, _sql
+from trackline.plans.relational import _CAPS, ANN, Panel, _out, _sql
 from trackline.sources.results import ResultStore, ResumableRun
 from trackline.sources.shared import folder, stored
 from trackline.sources.tables import table
@@ -87,3 +87,65 @@ def grid_run_resumed(spark, sf_dir):
     second = run()
     second.run(work)
     return second.store.read("summary").select("asset", "priority", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"))
+
+
+#: scenario, whether the calendar counts, threshold, window, cooldown.
+_DECIDERS = [("calendar", True, None, None, None), ("rule", False, 0.012, 12, 6), ("both", True, 0.014, 18, 0), ("patient", False, 0.012, 12, 30)]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in r) + ")" for r in rows)
+
+
+_LOOP = f"""names AS (SELECT DISTINCT asset FROM bars), dy AS (SELECT date, idx AS i, list(coalesce(ret, 0) ORDER BY asset) AS r FROM rets JOIN cal USING (date) GROUP BY ALL),
+dd AS (SELECT dy.*, CASE WHEN i = 0 THEN 0 ELSE coalesce(bench_ret, 0) END AS b, year(date) <> year(date - INTERVAL 1 MONTH) AS mark FROM dy LEFT JOIN series USING (date)),
+sc(s, cal_, thr, win, cool) AS (VALUES {_values(_DECIDERS)}), eq AS (SELECT list(1.0::DOUBLE / (SELECT count(*) FROM names)) AS e FROM names),
+st AS (SELECT s, cal_, thr, win, cool, e, 0::BIGINT AS i, date, 0.0::DOUBLE AS ret, 1.0::DOUBLE AS nav, e AS w, [0.0::DOUBLE] AS act, NULL::BIGINT AS last, NULL::DOUBLE[] AS pend, NULL::VARCHAR AS why FROM sc, eq, dd WHERE i = 0
+  UNION ALL SELECT s, cal_, thr, win, cool, e, i, date, ret, nav, list_transform(g, lambda x: x / list_sum(g)), act, CASE WHEN why = 'rule' THEN i ELSE last END, CASE WHEN why IS NOT NULL THEN e END, why FROM (
+    SELECT *, CASE WHEN cal_ AND mark THEN 'calendar' WHEN thr IS NOT NULL AND i > 1 AND i + 1 >= win AND (cool = 0 OR last IS NULL OR i - last >= cool)
+      AND list_aggregate(act[i - win + 2 : i + 1], 'stddev_samp') * sqrt(12) > thr THEN 'rule' END AS why FROM (
+      SELECT s, cal_, thr, win, cool, e, i, date, last, mark, ret, nav * (1 + ret) AS nav, list_transform(range(1, len(v) + 1), lambda k: v[k] * (1 + r[k])) AS g, list_append(act, ret - b) AS act FROM (
+        SELECT st.* EXCLUDE (i, date, ret), v, dd.i, dd.date, dd.r, dd.b, dd.mark, list_dot_product(v, dd.r) AS ret FROM (SELECT *, coalesce(pend, w) AS v FROM st) st JOIN dd ON dd.i = st.i + 1))))
+SELECT s AS scenario, date::VARCHAR AS date, round(ret, 8) AS port_ret, round(nav, 6) AS nav, why AS decided FROM st"""
+
+
+@query(_sql(_LOOP).replace("WITH ", "WITH RECURSIVE ", 1))
+def backtest_rules_and_calendars(spark, sf_dir):
+    """Back to equal weights each January, or whenever the tracking error of the last months is too large, or both.
+
+    The SQL walks the days by recursion."""
+    p = Panel(spark, sf_dir)
+    cal = stored(p.cal, "calendar")
+    scenarios = spark.createDataFrame(_DECIDERS, "scenario string, by_calendar boolean, threshold double, window int, cooldown int")
+    equal = p.bars.select("asset").distinct().select("asset", p.equal.alias("weight"))
+    targets = scenarios.select("scenario").crossJoin(F.broadcast(cal.select("date"))).crossJoin(F.broadcast(equal))
+    januaries = cal.filter("year(date) <> year(add_months(date, -1))").select("date")
+    marked = scenarios.filter("by_calendar").select("scenario").crossJoin(F.broadcast(januaries))
+    out = backtest.run(p.rets, p.series.select("date", "bench_ret"), equal, targets, marked, scenarios, ANN)
+    return out.select("scenario", F.col("date").cast("string").alias("date"), F.round("port_ret", 8).alias("port_ret"), F.round("nav", 6).alias("nav"), "decided")
+
+
+@query()
+def backtest_shares_with_flows(spark, sf_dir):
+    """Whole shares bought at equal weights each January, with costs, interest on cash, and a payment each July."""
+    p = Panel(spark, sf_dir)
+    cal = stored(p.cal, "calendar")
+    one = spark.createDataFrame([("lots", None, None, None)], "scenario string, threshold double, window int, cooldown int")
+    equal = p.bars.select("asset").distinct().select("asset", p.equal.alias("weight"))
+    januaries = cal.filter("year(date) <> year(add_months(date, -1))").select(F.lit("lots").alias("scenario"), "date")
+    flows = cal.filter("month(date) = 7").select("date", F.lit(5_000.0).alias("flow"))
+    panel = p.rets.join(p.dense.select("date", "asset", "price"), ["date", "asset"])
+    book = backtest.Shares(reserve=0.01, min_trade=100, cash_return=0.001)
+    out = backtest.run(panel, p.series.select("date", "bench_ret"), equal, januaries.crossJoin(F.broadcast(equal)), januaries, one, ANN, backtest.Settings(bps=5, start=1e6, shares=book), flows)
+    return out.select("scenario", F.col("date").cast("string").alias("date"), F.round("port_ret", 8).alias("port_ret"), F.round("nav", 2).alias("nav"), F.round("cash", 2).alias("cash"), "n_trades", "traded")
+
+
+@query()
+def evaluation_of_models(spark, sf_dir):
+    """From returns and compositions to the figures of each covariance model, with the lags of decisions."""
+    p = Panel(spark, sf_dir)
+    bench = p.bench.select("date", "asset", "weight")
+    returns = p.rets.join(bench.select("date").distinct(), "date", "left_semi")
+    resets = p.quarter_starts.select(F.col("rebal_date").alias("date")).distinct()
+    found = backtest.full_evaluation(returns, bench, calendars.schedule(calendars.calendar(returns), "Q"), resets, ["rolling", "lw", "qis"], 36, ANN)
+    return _out(found["summary"])
