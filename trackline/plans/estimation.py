@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from trackline.functions import moments, normal
 from trackline.plans.registry import query
 from trackline.plans.relational import Panel, _out, _sql
-from trackline.sources.shared import stored
+from trackline.sources.shared import folder, stored
+from trackline.streaming import online, state
 
 
 @query(_sql("""d AS (SELECT count(DISTINCT date) AS n FROM rets WHERE ret IS NOT NULL), mu AS (SELECT asset, avg(ret) AS m FROM rets GROUP BY asset),
@@ -61,3 +62,28 @@ def qq_by_asset(spark, sf_dir):
 SELECT asset, round(mean, 6) AS mean, round(se, 6) AS se, round(z, 6) AS z, round(2 * (1 - {normal.cdf("abs(z)")}), 6) AS p FROM t"""))
 def mean_pvalues(spark, sf_dir):
     return _out(moments.mean_test(Panel(spark, sf_dir).rets, "ret", ["asset"]))
+
+
+@query(_sql("""x AS (SELECT idx, asset, coalesce(ret, 0) AS r FROM rets JOIN cal USING (date)), pr AS (SELECT a.idx, a.asset AS i, b.asset AS j, a.r * b.r AS p FROM x a JOIN x b ON a.idx = b.idx),
+s AS (SELECT t.idx, p.i, p.j, 0.06 * sum(p.p * power(0.94, t.idx - p.idx)) AS c FROM cal t JOIN pr p ON p.idx <= t.idx GROUP BY ALL)
+SELECT idx AS seq, round(sum(CASE WHEN i = j THEN c ELSE 0 END), 8) AS trace, round(sqrt(sum(c * c)), 8) AS frobenius FROM s GROUP BY idx"""))
+def ewma_stream_resumed(spark, sf_dir):
+    """The covariance of all assets by a stream that stops half way; another goes on from its stored snapshot."""
+    p = Panel(spark, sf_dir)
+    size = p.bars.select("asset").distinct().count()
+    rows = p.rets.join(p.cal, "date").groupBy(F.col("idx").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("asset", F.coalesce("ret", F.lit(0.0)).alias("ret")))).alias("x"))
+    rows = stored(rows.select(F.lit("all").alias("model"), "seq", F.col("x.ret").alias("r")), "stream-vectors")
+    half = rows.agg(F.expr("max(seq) div 2")).first()[0] or 0
+    at = folder(spark, "resumed-stream")
+    model = state.Ewma(0.94)
+
+    def part(name, own, snapshot):
+        own.write.parquet(f"{at}/{name}-in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{at}/{name}-in")
+        return online.run_to_table(state.updates(stream, model, size, snapshot), f"{at}/{name}")
+
+    with online.durable_state(spark):
+        first = part("first", rows.filter(F.col("seq") <= half), None)
+        state.snapshots(first).write.parquet(f"{at}/snapshot")
+        second = part("second", rows.filter(F.col("seq") > half), spark.read.parquet(f"{at}/snapshot"))
+    return _out(first.union(second).select("seq", "trace", "frobenius"), 8)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -45,6 +46,18 @@ def ewma_updates(vectors: DataFrame, size: int, decay: float = 0.94) -> DataFram
     return vectors.groupBy("model").applyInPandasWithState(step, "model string, seq long, trace double, frobenius double", "s string", "append", GroupStateTimeout.NoTimeout)
 
 
+@contextmanager
+def durable_state(spark: SparkSession) -> Iterator[None]:
+    """Within, streams keep their state in RocksDB, which states with first values and large matrices need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
+
+
 def run_to_table(stream: DataFrame, folder: str) -> DataFrame:
     """Run a stream over what there is now into Parquet files and read them; folder is a shared one."""
     q = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start()
