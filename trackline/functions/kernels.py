@@ -213,20 +213,34 @@ def on_active(x: np.ndarray, estimator) -> np.ndarray:
 
 
 def minimise_tracking(cov: np.ndarray, bench: np.ndarray, kept: np.ndarray, rounds: int | None = None) -> np.ndarray:
-    """Weights over the `kept` places that minimise (w - b)' cov (w - b), with sum one and none negative.
+    """Weights over the `kept` places that minimise (w - b)' cov (w - b), with sum one and none negative."""
+    return solve_tracking(cov, bench, kept, rounds)[0]
+
+
+def solve_tracking(cov: np.ndarray, bench: np.ndarray, kept: np.ndarray, rounds: int | None = None, start: np.ndarray | None = None, ridge: float = 0.0) -> tuple[np.ndarray, int]:
+    """Weights as of minimise_tracking(), and the rounds they took.
 
     A primal active-set method: solve with equality on the free places, step until a weight reaches zero,
     which fixes it, and free the fixed place whose gradient pulls most. Ends at the optimum of this convex
-    problem; ties go to the lower place, so the path is deterministic.
+    problem; ties go to the lower place, so the path is deterministic. It begins at `start` (over all places), whose
+    zeros are fixed at first, so a start near the optimum takes few rounds; without one all are equal. `ridge`, in units
+    of the mean variance, adds ridge |w - start|^2.
     """
     s = positive_definite(cov)[np.ix_(kept, kept)]
     s = positive_definite(s)
     q = (cov @ bench)[kept]
     k = len(kept)
-    w = np.full(k, 1 / k)
-    free = np.ones(k, bool)
+    w, free = np.full(k, 1 / k), np.ones(k, bool)
+    if start is not None:
+        own = np.maximum(np.nan_to_num(start[kept]), 0)
+        if own.sum() > 0:
+            w = own / own.sum()
+            free = w > 0
     scale = max(np.trace(s) / k, 1e-300)
-    for _ in range(rounds or 20 * k + 50):
+    if ridge > 0:
+        s, q = s + ridge * scale * np.eye(k), q + ridge * scale * w
+    done = 0
+    for done in range(1, (rounds or 20 * k + 50) + 1):
         f = np.flatnonzero(free)
         m = np.zeros((len(f) + 1,) * 2)
         m[:-1, :-1], m[:-1, -1], m[-1, :-1] = s[np.ix_(f, f)] / scale, 1, 1
@@ -248,7 +262,7 @@ def minimise_tracking(cov: np.ndarray, bench: np.ndarray, kept: np.ndarray, roun
             break
         free[j] = True
     w = np.maximum(w, 0)
-    return w / w.sum()
+    return w / w.sum(), done
 
 
 def nelder_mead(f, start: np.ndarray, rounds: int = 400, spread: float = 0.1) -> tuple[np.ndarray, float, bool]:

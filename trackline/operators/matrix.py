@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trackline.functions import kernels
@@ -191,6 +191,48 @@ def positions_backtest(targets: DataFrame, prices: DataFrame, by: list[str], val
     return rows.groupBy(*by).applyInPandas(walk, f"{fields}, date date, nav double, cash double, n_trades long")
 
 
+def tracking_minimal_ordered(cov: DataFrame, bench: DataFrame, excluded: DataFrame | None = None, run: int = 12, ridge: float = 0.0, warm: bool = True, by: str = "rebal_date") -> DataFrame:
+    """model, by, asset, weight, rounds: tracking_minimal() solved in the order of dates, each from the weights before.
+
+    `run` consecutive dates are a group, so that runs of one model go in parallel and a task holds that many
+    covariances; the first of a run starts from its benchmark. What a start leaves fixed at zero is freed where it should
+    be, so without `ridge` the weights don't depend on the start. With it, ridge |w - start|^2 in units of the mean
+    variance holds weights near those before.
+    """
+    kind = bench.schema[by].dataType.simpleString()
+    dates = bench.select(by).distinct().withColumn("_run", F.floor((F.row_number().over(Window.orderBy(by)) - 1) / run).cast("int"))
+    left = bench.select(by, "asset", "weight").filter("weight > 0")
+    out = excluded.select("asset").distinct().withColumn("_x", F.lit(True)) if excluded is not None else None
+    left = left.join(out, "asset", "left").withColumn("kept", F.col("_x").isNull()) if out is not None else left.withColumn("kept", F.lit(True))
+    models = cov.select("model").distinct()
+    # Renamed, since both sides may come from one table.
+    benches = left.join(dates, by).crossJoin(F.broadcast(models)).select(F.col("model").alias("_model"), F.col("_run").alias("_own"), F.col(by).alias("_key"), "asset", "weight", "kept")
+    covs = cov.join(dates, by).select("model", "_run", F.col(by).alias("_key"), "i", "j", "cov")
+
+    def solve(key, c: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found, before = [], {}
+        for date, own in b.sort_values(["_key", "asset"]).groupby("_key", sort=True):
+            part = c[c["_key"] == date]
+            if not len(part):
+                continue
+            names = own["asset"].to_numpy()
+            at, weight = {a: k for k, a in enumerate(names)}, own["weight"].to_numpy(float) / own["weight"].sum()
+            part = part[part["i"].isin(at) & part["j"].isin(at)]
+            s = np.zeros((len(at),) * 2)
+            i, j = part["i"].map(at).to_numpy(int), part["j"].map(at).to_numpy(int)
+            s[i, j] = s[j, i] = part["cov"].to_numpy()
+            kept, w, n = np.flatnonzero(own["kept"].to_numpy(bool) & (np.diag(s) > 1e-12)), weight.copy(), 0
+            if len(kept):
+                first = np.array([before.get(a, 0.0) for a in names]) if warm and before else weight
+                w = np.zeros(len(at))
+                w[kept], n = kernels.solve_tracking(s, weight, kept, start=first, ridge=ridge)
+            before = dict(zip(names, w, strict=True))
+            found.append(pd.DataFrame({"model": key[0], by: date, "asset": names, "weight": w, "rounds": n}))
+        return pd.concat(found) if found else pd.DataFrame({x: pd.Series([], dtype=object) for x in ("model", by, "asset", "weight", "rounds")})
+
+    return covs.groupBy("model", "_run").cogroup(benches.groupBy("_model", "_own")).applyInPandas(solve, f"model string, {by} {kind}, asset string, weight double, rounds int")
+
+
 def tracking_minimal_scenarios(cov: DataFrame, bench: DataFrame, excluded: DataFrame, scenarios: DataFrame, together: int = 256, by: str = "rebal_date") -> DataFrame:
     """model, scenario, by, asset, weight, te_ante, var_ante, n_kept: tracking_minimal() for many sets of exclusions.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from trackline.operators import allocation, backtest, calendars, universe
+from trackline.operators import allocation, backtest, calendars, matrix, universe
 from trackline.plans.registry import query
 from trackline.plans.relational import _CAPS, ANN, Panel, _out, _sql
 from trackline.sources.results import ResultStore, ResumableRun
@@ -149,3 +149,13 @@ def evaluation_of_models(spark, sf_dir):
     resets = p.quarter_starts.select(F.col("rebal_date").alias("date")).distinct()
     found = backtest.full_evaluation(returns, bench, calendars.schedule(calendars.calendar(returns), "Q"), resets, ["rolling", "lw", "qis"], 36, ANN)
     return _out(found["summary"])
+
+
+@query()
+def te_min_ordered(spark, sf_dir):
+    """Weights of least tracking error in the order of dates, each solve begun at the weights before; the same as te_min_qp's."""
+    p = Panel(spark, sf_dir)
+    caps = p.bars.groupBy("asset").agg(F.sum("revenue").alias("cap"))
+    small = universe.exclusions(caps.select("asset"), caps, 0.2)
+    cov = stored(matrix.covariances(p.window(36), ["rolling", "lw", "anls", "qis"]), "covariances")
+    return _out(matrix.tracking_minimal_ordered(cov, p.quarter_starts, small).select("model", "rebal_date", "asset", "weight"), 5)
