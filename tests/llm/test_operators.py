@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackline.llm import archive, bpe, html, lines, neardup, neighbours, packing, quality, sharding, suffixes
-from trackline.llm.common import connected
+from trackline.llm.common import connected, filter_computed, materialise
 from trackline.llm.queries import op4_fuzzy_lines, public_vocabulary
 
 
@@ -100,6 +100,44 @@ def test_sharding_weight_moves_stay_in_the_subtree(spark):
     assert len(got) and (got["to"] >= 4).all()
 
 
+def test_sharding_draws_are_recomputed_one_by_one(spark):
+    """Every level's draws by plain Python, with hashes of another library."""
+    import math
+
+    import xxhash
+
+    def draw(key, path, weight):
+        seed = xxhash.xxh64_intdigest(path.encode(), seed=42)
+        bits = xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed=seed) >> 11
+        return -math.log((bits + 0.5) / 2**53) / weight
+
+    shards = [sharding.Shard(i, f"r{i % 3}", f"k{i % 2}", 1.0 + i % 4) for i in range(13)] + [sharding.Shard(13, "r0", "k0", 0.0)]
+    got = {r.doc_id: r.shard for r in sharding.assign(spark.range(-50, 2000).withColumnRenamed("id", "doc_id"), ["doc_id"], shards).collect()}
+    for key, shard in got.items():
+        left, path = [s for s in shards if s.weight > 0], ""
+        for level in ("region", "rack", "number"):
+            below = {}
+            for s in left:
+                below.setdefault(str(getattr(s, level)), []).append(s)
+            name = min(below, key=lambda n: draw(key, f"{path}/{n}", sum(s.weight for s in below[n])))
+            left, path = below[name], f"{path}/{name}"
+        assert left[0].number == shard
+
+
+def test_copies_of_one_row_are_numbered_in_many_groups(spark, monkeypatch):
+    rows = spark.range(5000).select(F.lit(7).alias("doc_id"), F.lit(1).alias("shard"), F.lit("x").alias("_slot_n")).repartition(6)
+    seen = []
+    monkeypatch.setattr(sharding, "materialise", lambda df, label: seen.append(materialise(df, label)) or seen[-1])
+    got = sharding.number_slots(rows, ["doc_id"])
+    assert sorted(r.slot for r in got.collect()) == list(range(5000)) and got.columns == ["shard", "doc_id", "_slot_n", "slot"]
+    assert seen[0].groupBy("_slot_block").count().agg(F.max("count")).first()[0] < 20
+
+
+def test_computed_filters_leave_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "_at long, _AT_ string, x string")
+    assert [tuple(r) for r in filter_computed(df, F.col("_at") == 2).collect()] == [(2, "c", "d")]
+
+
 def expected_components(rows, shingle, threshold):
     sets = []
     for d, t in rows:
@@ -279,6 +317,8 @@ def test_bpe_equals_the_library(docs, rows, empty):
         want = theirs.encode(t, add_special_tokens=False).ids
         assert mine.encode(t) == want
         assert mine.decode(want) == theirs.decode(want, skip_special_tokens=False)
+    clash = bpe.encode_documents(docs.withColumnsRenamed({"item": "_encoded", "key": "n_tokens"}), path, ids=False).collect()
+    assert {r["_encoded"] for r in clash} == {"a"} and sorted(r.n_tokens for r in clash) == sorted(len(theirs.encode(t or "", add_special_tokens=False).ids) for _, t in rows)
     pieces = [p.encode() for p in list(mine.known)[:400]]
     by = defaultdict(list)
     for p in pieces:

@@ -10,7 +10,9 @@ Pieces repeat, so each worker remembers what it has encoded, within a bound; a f
 again. Spark deals out the texts; nothing is shuffled.
 
 Defined results: a null text is empty, no ids, and decodes to an empty text; every row is encoded for
-itself, so repeated rows get equal results; an empty table gives an empty table; other columns stay.
+itself, so repeated rows get equal results; an empty table gives an empty table; other columns stay, but those
+with the names of results are replaced; a very long text is cut where no piece reaches over, and its longest piece
+alone bounds what a tree holds.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trackline.llm.common import free_name
+
 #: Stretches of text that a worker remembers with their ids, twice: those used lately, and those before.
 MEMORY = 250_000
 #: Symbols in one array of trees.
@@ -212,6 +216,12 @@ class ByteBpe:
         """Each text as stretches: number of ids, the ids as decimals joined by commas, and what they decode to."""
         # What is remembered has no cycles; looking for them again and again would take a fifth of the time.
         gc.disable()
+        try:
+            return self._stretches(texts)
+        finally:
+            gc.enable()
+
+    def _stretches(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
         cut = [self._cut(t) for t in texts]
         if len(self.chunks) > MEMORY or len(self.known) > MEMORY:
             self.known_before, self.chunks_before, self.known, self.chunks = self.known, self.chunks, {}, {}
@@ -227,9 +237,7 @@ class ByteBpe:
                 counts, ids, decoded = zip(*map(known.__getitem__, ps), strict=True)
                 self.chunks[c] = sum(counts), b",".join(ids), b"".join(decoded)
         get = self.chunks.__getitem__
-        out = [list(map(get, row)) for row in cut]
-        gc.enable()
-        return out
+        return [list(map(get, row)) for row in cut]
 
     def encode_batch(self, texts: list[str]) -> list[tuple[int, bytes, bytes]]:
         """For each text the number of its ids, the ids as decimals joined by commas, and the bytes they decode to."""
@@ -288,5 +296,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", ids:
                     rows.append([n, *([_ids(joined), decoded] if ids else []), *([hashlib.sha256(joined).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()] if digests else [])])
             yield pd.DataFrame(rows, columns=list(added))
 
-    out = docs.drop(*added).withColumn("_encoded", work(F.col(text).cast("string")))
-    return out.select(*[c for c in out.columns if c != "_encoded"], "_encoded.*")
+    made = free_name(docs, "_encoded")
+    # The text may itself have a name that is replaced.
+    out = docs.withColumn(made, work(F.col(text).cast("string")))
+    return out.select(*[c for c in docs.columns if c not in added], f"{made}.*")

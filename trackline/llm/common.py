@@ -53,13 +53,22 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or if df has such a column, a longer name that it has not."""
+    has = {c.lower() for c in df.columns}
+    while name.lower() in has:
+        name += "_"
+    return name
+
+
 def filter_computed(df: DataFrame, condition: Column) -> DataFrame:
     """Filter by columns that are costly to compute.
 
     Pushed down, a filter would hold a copy of their expressions for each use, and the plan of nested ones would
     grow without end. A row number that the filter reads keeps it where it stands.
     """
-    return df.withColumn("_at", F.monotonically_increasing_id()).filter(condition & (F.col("_at") >= 0)).drop("_at")
+    at = free_name(df, "_at")
+    return df.withColumn(at, F.monotonically_increasing_id()).filter(condition & (F.col(at) >= 0)).drop(at)
 
 
 def text_key(text: Column) -> Column:

@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trackline.llm.common import materialise
+
 #: Blocks of slot numbers in each shard: 4096 x shards counts are a table of bounded size.
 SLOT_BLOCKS = 4096
 
@@ -78,12 +80,16 @@ def number_slots(df: DataFrame, keys: list[str], shard: str = "shard", to: str =
     """Add gapless numbers from 0 in each shard.
 
     Rows are numbered in hashed blocks of a shard, and blocks start where the counts of earlier ones
-    end, so that no task holds a shard. Counts are a partial aggregate of SLOT_BLOCKS rows a shard.
-    Put only narrow columns through this: its window is a shuffle.
+    end, so that no task holds a shard. The block is a hash of the keys and of the row's place, so that copies of one
+    row spread too; it is written, since a place may be another when it is computed again. Counts are a partial
+    aggregate of SLOT_BLOCKS rows a shard. Put only narrow columns through this: they are written and its window is a
+    shuffle.
     """
     from pyspark.sql import Window
 
-    df = df.drop("_slot_block", "_slot_row", "_slot_first").withColumn("_slot_block", F.pmod(F.xxhash64(F.lit("slot"), *keys), F.lit(SLOT_BLOCKS)).cast("int"))
+    own = df.drop("_slot_block", "_slot_row", "_slot_first")
+    block = F.pmod(F.xxhash64(F.lit("slot"), *keys, F.monotonically_increasing_id()), F.lit(SLOT_BLOCKS)).cast("int")
+    df = materialise(own.withColumn("_slot_block", block), "slot-rows")
     counts = df.groupBy(shard, "_slot_block").agg(F.count("*").alias("_slot_n"))
     before = Window.partitionBy(shard).orderBy("_slot_block").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.select(shard, "_slot_block", F.coalesce(F.sum("_slot_n").over(before), F.lit(0)).alias("_slot_first"))
