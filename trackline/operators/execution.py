@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def to_shares(targets: DataFrame, value: float, reserve: float = 0.0, min_weight: float = 0.0, min_notional: float = 0.0, lot: float = 1.0, fractional: bool = False, by: str = "date") -> DataFrame:
+def to_shares(targets: DataFrame, value: float, reserve: float = 0.0, min_weight: float = 0.0, min_notional: float = 0.0, lot: float = 1.0, fractional: bool = False, by: str = "date", rounding: str = "floor") -> DataFrame:
     """by, asset, price, shares, cash: targets (by, asset, weight, price) bought with `value` less the reserve.
 
     Small weights and positions are dropped, each time scaling the rest; shares are whole lots, rounded
-    down, so that the budget is never exceeded. `cash` is what is left of the value.
+    down, so that the budget is never exceeded, or with rounding="round" to the nearest lot, halves to even ones, so that
+    cash may be negative. `cash` is what is left of the value.
     """
+    if rounding not in ("floor", "round"):
+        raise ValueError(f"no such rounding: {rounding}")
     day = Window.partitionBy(by)
     w = F.when((F.col("weight") >= min_weight) & (F.col("price") > 0), F.col("weight")).otherwise(0.0)
     rows = targets.withColumn("_w", w).withColumn("_w", F.coalesce(F.try_divide("_w", F.sum("_w").over(day)), F.lit(0.0)))
@@ -19,7 +22,8 @@ def to_shares(targets: DataFrame, value: float, reserve: float = 0.0, min_weight
     rows = rows.withColumn("_n", F.when(F.col("_w") * budget >= min_notional, F.col("_w") * budget).otherwise(0.0))
     rows = rows.withColumn("_n", F.coalesce(F.try_divide("_n", F.sum("_n").over(day)), F.lit(0.0)) * budget)
     raw = F.coalesce(F.try_divide("_n", "price"), F.lit(0.0))
-    shares = raw if fractional else F.floor(raw / lot).cast("double") * lot
+    lots = F.floor(raw / lot) if rounding == "floor" else F.bround(raw / lot)
+    shares = raw if fractional else lots.cast("double") * lot
     rows = rows.withColumn("shares", F.greatest(shares, F.lit(0.0)))
     return rows.select(by, "asset", "price", "shares", (F.lit(value) - F.sum(F.col("shares") * F.coalesce("price", F.lit(0.0))).over(day)).alias("cash"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructType
 
-from trackline.operators import allocation, backtest, calendars, matrix, universe
+from trackline.operators import allocation, backtest, calendars, execution, matrix, returns, universe
 from trackline.plans.registry import query
 from trackline.plans.relational import _CAPS, ANN, Panel, _out, _sql
 from trackline.sources.results import ResultStore, ResumableRun
@@ -159,3 +159,14 @@ def te_min_ordered(spark, sf_dir):
     small = universe.exclusions(caps.select("asset"), caps, 0.2)
     cov = stored(matrix.covariances(p.window(36), ["rolling", "lw", "anls", "qis"]), "covariances")
     return _out(matrix.tracking_minimal_ordered(cov, p.quarter_starts, small).select("model", "rebal_date", "asset", "weight"), 5)
+
+
+@query(_sql("""tgt AS (SELECT date, asset, weight, price FROM bench JOIN filled USING (date, asset)), w1 AS (SELECT *, CASE WHEN price > 0 THEN weight ELSE 0 END AS w FROM tgt),
+w2 AS (SELECT *, coalesce(w / nullif(sum(w) OVER (PARTITION BY date), 0), 0) * 1000000.0 AS m FROM w1), sh AS (SELECT date, asset, price, round_even(coalesce(m / nullif(price, 0), 0) / 10, 0) * 10 AS shares FROM w2)
+SELECT date::VARCHAR AS date, asset, shares, round(1000000.0 - sum(shares * price) OVER (PARTITION BY date), 2) AS cash FROM sh"""))
+def weights_to_rounded_lots(spark, sf_dir):
+    """A million in lots of ten, rounded to the nearest."""
+    p = Panel(spark, sf_dir)
+    targets = p.bench.select("date", "asset", "weight").join(returns.forward_fill(p.dense).select("date", "asset", "price"), ["date", "asset"])
+    out = execution.to_shares(targets, 1_000_000.0, lot=10, rounding="round")
+    return out.select(F.col("date").cast("string").alias("date"), "asset", "shares", F.round("cash", 2).alias("cash"))
