@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -490,6 +491,62 @@ def test_extraction_judges_marked_and_unmarked_blocks():
     # Alone, the tag decides for blocks that the rules leave open; without it they go.
     assert html.main_text(f"<nav>Menu</nav><article><p>{odd}</p><p>Short.</p></article>") == f"{odd}\nShort."
     assert html.main_text(f"<nav>Menu</nav><div><p>{odd}</p><p>Short.</p></div>") == ""
+    # Short blocks follow decided ones of their container, wherever they stand in it; a box of its own beside it goes.
+    assert html.main_text(f"<nav>Menu</nav><div><h1>Head</h1><p>{long}</p><p>End.</p></div><div>Tiny</div><footer>f</footer>") == f"Head\n{long}\nEnd."
+    # Where all is short, a container's blocks are judged together.
+    parts = ["This is the text.", "It was written by all of us.", "It is for you and not for them.", "That is all."]
+    assert html.main_text("<nav>Menu</nav><div>" + "".join(f"<p>{p}</p>" for p in parts) + "</div><footer>f</footer>") == "\n".join(parts)
+
+
+def stop_words_by_hand(pages):
+    """Stop words from blocks of regular pages: <p> and <div> without links or classes, counted page by page."""
+    used, n = Counter(), Counter()
+    for page in pages:
+        lang = re.search('lang="(..)"', page)
+        lang = lang[1] if lang else ""
+        texts = [x for x in re.findall(r"<p>([^<]*)", page) if len(x) >= 70]
+        words = {w.strip(".,|") for x in texts for w in x.lower().split()} - {""}
+        n[lang] += bool(words)
+        used.update((lang, w) for w in words)
+    weight = lambda lang, w: used[lang, w] + 20 * (w in html.STOP_WORDS)
+    return {(lang, w) for lang in n if n[lang] for w in {v for k, v in used if k == lang} | html.STOP_WORDS if weight(lang, w) * 10 >= n[lang] + 20}
+
+
+def test_stop_words_are_learned_by_language(spark, monkeypatch):
+    r = random.Random(5)
+    made = {lang: ["".join(r.choices(letters, k=r.randint(2, 4))) for _ in range(12)] for lang, letters in (("xx", "aeklmo"), ("yy", "irstuv"))}
+    rare = lambda: "".join(r.choices("bcdfghnpqw", k=9))
+
+    def passage(lang, n=24):
+        return " ".join(r.choice(made[lang]) if r.random() < 0.45 else rare() for _ in range(n)) + "."
+
+    def page(i):
+        lang, other = ("xx", "yy") if i % 3 else ("yy", "xx")
+        tag = "article" if i % 2 else "div"
+        odd = f"<div><p>{passage(other)}</p></div>" if i % 25 == 0 else ""
+        body = "".join(f"<p>{passage(lang)}</p>" for _ in range(3))
+        return f'<html lang="{lang}"><body><nav>{passage(lang)}</nav>{odd}<{tag}><h1>Head</h1>{body}<p>End.</p></{tag}></body></html>'
+
+    rows = [(i, page(i)) for i in range(300)]
+    rows += [(300, None), (301, ""), (302, "<p>" + "of the " * 200), (302, "<p>" + "of the " * 200), (303, f"<div>{'word ' * 400_000}")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("word", F.lit(7)).withColumn("lang", F.lit("q"))
+    got = {(w.lang, w.word) for w in html.learned_words(df).collect()}
+    # A bound on what a task counts before it hands it on changes nothing.
+    monkeypatch.setattr(html, "COUNTED", 50)
+    found = Counter()
+    for part in html._usage(iter([df.select("html").toPandas()])):
+        for lang, w, k in zip(part["lang"], part["word"], part["pages"], strict=True):
+            found[lang, w] += k
+    assert {k for k in got if k[0]} == {k for k in stop_words_by_hand(p for _, p in rows[:300]) if k[0]}
+    assert got == {(lang, w) for (lang, w), k in found.items() if w and (k + 20 * (w in html.STOP_WORDS)) * 10 >= found[lang, ""] + 20}
+    # The other language's passages go, whichever tag is around the text; the fixed words know neither language.
+    out = html.extract(df)
+    assert out.columns == ["page_id", "word", "lang", "text", "n_chars"]
+    texts = {x.page_id: x.text for x in out.collect()}
+    whole = lambda p: "\n".join(["Head", *re.findall(r"<p>([^<]*)", p)[-4:]])
+    wrong = [i for i, p in rows[:300] if texts[i] != whole(p)]
+    assert len(wrong) <= 6, wrong
+    assert texts[300] == texts[301] == "" and texts[302] == ("of the " * 200).strip() and texts[303] == ""
 
 
 def expected_removal(texts, length):
