@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from string import punctuation
 
@@ -82,13 +83,17 @@ _LANGUAGE = re.compile(r"<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2})(?![a-z])", r
 
 
 class _Block:
-    __slots__ = ("home", "label", "links", "parts", "place", "region")
+    __slots__ = ("home", "label", "links", "parts", "place", "region", "whole")
 
     def __init__(self, place: str | None, region: int = 0, home: int = 0):
+        self.whole: str | None = None
         self.parts, self.links, self.place, self.label, self.region, self.home = [], 0, place, "", region, home
 
     def text(self) -> str:
-        return " ".join("".join(self.parts).split())
+        if len(self.parts) != 1 or self.parts[0] is not self.whole:
+            self.whole = " ".join("".join(self.parts).split())
+            self.parts = [self.whole]
+        return self.whole
 
 
 def words_of(text: str) -> list[str]:
@@ -185,13 +190,15 @@ def judge(blocks: list[_Block], stop_words: frozenset[str] = STOP_WORDS) -> None
     """Label each block good or bad, in two passes."""
     for b in blocks:
         text = b.text()
-        words = words_of(text)
-        stop = sum(w in stop_words for w in words) / max(1, len(words))
         if b.place == "aside" or b.links > LINKED * len(text) or "©" in text:
             b.label = "bad"
-        elif len(text) < SHORT:
+            continue
+        if len(text) < SHORT:
             b.label = "short"
-        elif stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) > LONG):
+            continue
+        words = words_of(text)
+        stop = sum(w in stop_words for w in words) / max(1, len(words))
+        if stop >= STOP_HIGH or (stop >= STOP_LOW and len(text) > LONG):
             b.label = "good"
         else:
             few = STOP_FEW if len(text) <= LONG else STOP_LOW
@@ -249,28 +256,31 @@ def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
 
 def _usage(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pages of a language, as those of the word "", and those of them that use a word."""
-    counts: dict[tuple[str, str], int] = {}
+    counts: dict[str, Counter[str]] = {}
 
     def told() -> pd.DataFrame:
         # The prior words of each language are rows too, so that what no page uses is weighed as well.
-        for key in {(lang, w) for lang, _ in counts for w in STOP_WORDS}:
-            counts.setdefault(key, 0)
-        return pd.DataFrame({"lang": [k for k, _ in counts], "word": [w for _, w in counts], "pages": list(counts.values())})
+        for used in counts.values():
+            for w in STOP_WORDS:
+                used.setdefault(w, 0)
+        langs = [lang for lang, used in counts.items() for _ in used]
+        return pd.DataFrame({"lang": langs, "word": [w for used in counts.values() for w in used], "pages": [n for used in counts.values() for n in used.values()]})
 
     for batch in batches:
         for page in batch["html"]:
             if not page:
                 continue
-            used: set[str] = set()
+            kept = []
             for b in blocks_of(page):
-                text = b.text()
-                if b.place != "aside" and len(text) >= SHORT and b.links <= LINKED * len(text):
-                    used.update(words_of(text))
+                if b.place != "aside":
+                    text = b.text()
+                    if len(text) >= SHORT and b.links <= LINKED * len(text):
+                        kept.append(text)
+            used = {w.strip(punctuation) for w in set(" ".join(kept).lower().split())}
+            used.discard("")
             if used:
-                lang = language(page)
-                for w in used | {""}:
-                    counts[lang, w] = counts.get((lang, w), 0) + 1
-            if len(counts) >= COUNTED:
+                counts.setdefault(language(page), Counter()).update(used | {""})
+            if sum(map(len, counts.values())) >= COUNTED:
                 yield told()
                 counts.clear()
     if counts:
