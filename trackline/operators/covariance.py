@@ -116,3 +116,30 @@ def mean_loss(losses: DataFrame, value: str, burn_in: int) -> DataFrame:
     """n, `value`_mean: the mean of a loss (rebal_date, value) over dates but the first `burn_in`."""
     rows = losses.withColumn("_k", F.row_number().over(Window.orderBy("rebal_date"))).filter(F.col("_k") > burn_in)
     return rows.agg(F.count("*").alias("n"), F.avg(value).alias(f"{value}_mean"))
+
+
+def held_out_losses(one: DataFrame, other: DataFrame, parts: DataFrame, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by..., seed, frobenius, largest: how far two covariance tables are apart if the assets of one part are left out.
+
+    parts: asset, part. Each part is left out once, as `seed`. Differences are summed up by the parts of both assets
+    first, so what meets the seeds are squares of the number of parts. An absent pair is zero; an asset without a part is
+    never left out; a seed that leaves no pair has no row."""
+    both = one.select(*by, "i", "j", "cov").join(other.select(*by, "i", "j", F.col("cov").alias("_o")), [*by, "i", "j"], "full")
+    d = F.coalesce("cov", F.lit(0.0)) - F.coalesce("_o", F.lit(0.0))
+    # A universe has hundreds of names.
+    for side in "ij":
+        both = both.join(F.broadcast(parts.select(F.col("asset").alias(side), F.col("part").alias(f"_{side}"))), side, "left")
+    square = F.when(F.col("i") == F.col("j"), 1.0).otherwise(2.0) * d * d
+    cells = both.groupBy(*by, "_i", "_j").agg(F.sum(square).alias("_s"), F.max(F.abs(d)).alias("_m"))
+    seeds = F.broadcast(parts.select(F.col("part").alias("seed")).distinct())
+    left = ~(F.col("_i").eqNullSafe(F.col("seed")) | F.col("_j").eqNullSafe(F.col("seed")))
+    return cells.join(seeds, left).groupBy(*by, "seed").agg(F.sqrt(F.sum("_s")).alias("frobenius"), F.max("_m").alias("largest"))
+
+
+def over_seeds(losses: DataFrame, metrics: list[str], by: list[str] = []) -> DataFrame:  # noqa: B006
+    """by..., metric, n, mean, std of each metric over the seeds, of one row a seed. Nulls and NaN are left out; the
+    deviation of one value is zero, that of none null, as is its mean."""
+    rows = losses.unpivot([F.col(c) for c in by], metrics, "metric", "value")
+    real = F.when(~F.isnan("value"), F.col("value"))
+    std = F.when(F.count(real) > 0, F.coalesce(F.stddev_samp(real), F.lit(0.0)))
+    return rows.groupBy(*by, "metric").agg(F.count(real).alias("n"), F.avg(real).alias("mean"), std.alias("std"))

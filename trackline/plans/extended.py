@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trackline.functions import moments
@@ -272,6 +273,25 @@ def loss_after_burn_in(spark, sf_dir):
     return te.crossJoin(F.broadcast(mean)).select(F.round("te_ann", 6).alias("te_ann"), "n", F.round("frobenius_mean", 8).alias("frobenius_mean"))
 
 
+@query(_sql(_SHRINK + """k AS (SELECT *, ss - p * m * m AS d2, greatest((x4 - n * ss) / (n * n), 0) AS b2 FROM w JOIN x4 USING (rebal_date)), h AS (SELECT *, CASE WHEN d2 <= 1e-24 THEN 1 ELSE greatest(least(b2 / d2, 1), 0) END AS rho FROM k),
+lw AS (SELECT rebal_date, i, j, rho * CASE WHEN i = j THEN m ELSE 0 END + (1 - rho) * s AS cov FROM s JOIN h USING (rebal_date)),
+g AS (SELECT asset, (dense_rank() OVER (ORDER BY asset) - 1) % 4 AS g FROM (SELECT DISTINCT asset FROM bars)),
+d AS (SELECT rebal_date, x.g AS a, y.g AS b, CASE WHEN i = j THEN 1 ELSE 2 END AS t, roll.cov - lw.cov AS d FROM roll JOIN lw USING (rebal_date, i, j) JOIN g x ON x.asset = i JOIN g y ON y.asset = j),
+l AS (SELECT seed, rebal_date, sqrt(sum(t * d * d)) AS frobenius, max(abs(d)) AS largest FROM d JOIN (SELECT DISTINCT g AS seed FROM g) ON a <> seed AND b <> seed GROUP BY ALL),
+o AS (SELECT seed, avg(frobenius) AS frobenius, avg(largest) AS largest FROM l GROUP BY seed), u AS (UNPIVOT o ON frobenius, largest INTO NAME metric VALUE value)
+SELECT metric, count(*) AS n, round(avg(value), 8) AS mean, round(coalesce(stddev_samp(value), 0), 8) AS std FROM u GROUP BY metric"""))
+def loss_over_seeds(spark, sf_dir):
+    """Losses of the shrunk covariance against the sample's, with a quarter of the assets left out in turn: mean over
+    dates, then mean and deviation over the four seeds."""
+    p = Panel(spark, sf_dir)
+    w = p.window(24)
+    names = p.bars.select("asset").distinct()
+    parts = names.select("asset", F.pmod(F.dense_rank().over(Window.orderBy("asset")) - 1, F.lit(4)).alias("part"))
+    losses = covariance.held_out_losses(covariance.rolling(w, ["rebal_date"]), covariance.ledoit_wolf(w, ["rebal_date"]), parts, ["rebal_date"])
+    means = losses.groupBy("seed").agg(F.avg("frobenius").alias("frobenius"), F.avg("largest").alias("largest"))
+    return _out(covariance.over_seeds(means, ["frobenius", "largest"]), 8)
+
+
 @query(_sql("""m AS (SELECT count(*)::DOUBLE AS n, stddev_samp(active) AS te_daily, avg(active * active) AS mse, avg(abs(active)) AS mae FROM act), u AS (UNPIVOT m ON n, te_daily, mse, mae INTO NAME name VALUE value)
 SELECT name, round(value, 6) AS value FROM u"""))
 def diagnostics_log(spark, sf_dir):
