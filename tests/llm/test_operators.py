@@ -261,6 +261,26 @@ def test_linked_groups_find_every_link_of_crowded_buckets(spark):
     assert got == want
 
 
+def test_linked_groups_ask_for_each_pair_once(spark):
+    """Unlike items that share two buckets, but for two of them, which share none."""
+    from trackline.llm.common import linked_groups, materialise
+
+    n = 30
+    table = [(i, (0,), {0: [1], 1: [2]}.get(i, [1, 2])) for i in range(n)]
+    items = materialise(spark.createDataFrame(table, "item long, sig struct<s: int>, buckets array<long>"), "once")
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def unlike(a, b):
+        asked.add(1)
+        return False
+
+    near = lambda x, y: F.expr(f"{x}.s = {y}.s")
+    full = lambda d: d.select("item", F.col("item").alias("full"))
+    assert linked_groups(items, near, full, unlike, "once").collect() == []
+    assert n * (n - 1) // 2 - 1 <= asked.value < n * (n - 1) // 2 + n
+
+
 def _edited(words, share, rng):
     """Words replaced, dropped, added or misspelt until the edits are near the share of the characters."""
     out, room = list(words), int(share * len(" ".join(words)))
