@@ -370,6 +370,23 @@ def test_tokenizers_equal_the_library_on_hostile_strings():
         assert list(np.frombuffer(raw, "<u4")) == [*theirs.encode(t, add_special_tokens=False).ids, 0], t
 
 
+def test_word_ids_learn_letters_and_marks_apart(monkeypatch):
+    """Words that end in any marks cost no piece of their own, also while the memory is turned over."""
+    tokenizers = pytest.importorskip("tokenizers")
+    monkeypatch.setattr(packing, "MEMORY", 50)
+    path = public_vocabulary("word_bpe_49k.json")
+    theirs, mine = tokenizers.Tokenizer.from_file(path), packing.WordIds(path)
+    r = random.Random(5)
+    texts = [" ".join(prose(1, 10 * i + k) + "".join(r.choice(packing.MARKS) for _ in range(k % 4)) for k in range(9)) for i in range(60)] + ["", "\n", " ", "é\u0301$$ ß% Σ|>"]
+    for i in range(0, len(texts), 7):
+        for t, raw in zip(texts[i : i + 7], mine.encode_batch(texts[i : i + 7], 9), strict=True):
+            assert list(np.frombuffer(raw, "<u4")) == [*theirs.encode(t, add_special_tokens=False).ids, 9], t
+    assert mine.encode_batch([]) == []
+    plain = packing.WordIds(path)
+    plain.encode_batch(["house house, house.%%% house$$$ House***"])
+    assert set(plain.stems) == {"house", "", ",", ".%%%", "$$$", "***"}
+
+
 def test_crossover_improves_on_its_first_parent():
     """Where best-fit decreasing wastes sequences, two islands with elite migration need fewer."""
     for seed in range(3):

@@ -28,6 +28,8 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +43,14 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 CLOSED = 0.995
 #: Words that a worker remembers with their ids, twice: those used lately, and those before.
 MEMORY = 400_000
+#: Marks that end words: they make a piece of their own behind letters, whichever they are.
+MARKS = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 
 
 def _stem(word: str) -> str:
     """The word without marks that end it, where the pre-tokenizer parts them: after nothing but letters, and only
     letters after the tokenizer's normalising. ASCII letters are lower-cased, as the tokenizer does. Else the word."""
-    stem = word.rstrip(".,;:!?")
+    stem = word.rstrip(MARKS)
     if not stem.isalpha():
         return word
     if stem.isascii():
@@ -67,24 +71,37 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        #: Which ids end a piece; none, if the tokenizer doesn't mark them.
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[k for w, k in vocabulary.items() if suffix and w.endswith(suffix)]] = True
         self.now: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
         self.stems: dict[str, bytes] = {}
         self.stems_before: dict[str, bytes] = {}
 
     def encode_batch(self, texts: list[str], end: int = 0) -> list[bytes]:
+        if not texts:
+            return []
         # What is remembered has no cycles; looking for them again and again would take a fifth of the time.
         gc.disable()
-        rows = [t.replace("\n", " ").split(" ") for t in texts]
+        # Arrow numbers the different words, so that Python sees each of them once and numpy lays out their ids.
+        rows = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        numbered = rows.values.dictionary_encode()
+        different = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.now) > MEMORY:
             self.now, self.before = {}, self.now
         if len(self.stems) > MEMORY:
             self.stems, self.stems_before = {}, self.stems
         now, before, stems = self.now, self.before, self.stems
-        new = set().union(*rows).difference(now)
-        now.update((w, before[w]) for w in new if w in before)
-        new.difference_update(before)
-        words = list(new)
+        words = []
+        for w in different:
+            if w not in now:
+                if w in before:
+                    now[w] = before[w]
+                else:
+                    words.append(w)
         starts = list(map(_stem, words))
         ends = [w[len(s) :] for w, s in zip(words, starts, strict=True)]
         parts = {*starts, *ends}.difference(stems)
@@ -92,25 +109,34 @@ class WordIds:
         parts.difference_update(self.stems_before)
         self._learn(parts)
         now.update((w, stems[s] + stems[e] if e else stems[s]) for w, s, e in zip(words, starts, ends, strict=True))
-        last = int(end).to_bytes(4, "little")
-        get = now.__getitem__
-        out = [b"".join(map(get, row)) + last for row in rows]
+        known = [*map(now.__getitem__, different), int(end).to_bytes(4, "little")]
         gc.enable()
-        return out
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids = np.frombuffer(b"".join(known), "<u4")
+        # The end is one more word behind each text.
+        last = rows.offsets.to_numpy()[1:].astype(np.int64)
+        word = np.insert(numbered.indices.to_numpy(), last, len(different))
+        n = size[word]
+        to = np.cumsum(n)
+        at = np.repeat((np.cumsum(size) - size)[word] - (to - n), n)
+        at += np.arange(len(at))
+        out = ids[at].tobytes()
+        cut = (to[last + np.arange(len(texts))] * 4).tolist()
+        return [out[a:b] for a, b in zip([0, *cut], cut, strict=False)]
 
     def _learn(self, parts: set[str]) -> None:
         letters = [p for p in parts if p.isalpha()]
         rest = [p for p in parts if not p.isalpha()]
-        # Words of letters are one piece each, so many are encoded in one call and cut where the piece changes.
+        # Words of letters are one piece each, so many are encoded in one call and cut where a piece ends.
         for i in range(0, len(letters), 1000):
             some = letters[i : i + 1000]
-            e = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            cut = np.flatnonzero(np.diff(np.asarray(e.word_ids, np.int64), prepend=-1, append=-1)) * 4
-            if len(cut) != len(some) + 1:
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = ((np.flatnonzero(self.closes[ids]) + 1) * 4).tolist()
+            if len(cut) != len(some) or cut[-1] != 4 * len(ids):
                 rest += some
                 continue
-            ids = np.asarray(e.ids, "<u4").tobytes()
-            self.stems.update((w, ids[a:b]) for w, a, b in zip(some, cut.tolist(), cut[1:].tolist(), strict=False))
+            raw = ids.tobytes()
+            self.stems.update((w, raw[a:b]) for w, a, b in zip(some, [0, *cut], cut, strict=False))
         for i in range(0, len(rest), 5000):
             some = rest[i : i + 5000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
@@ -130,8 +156,8 @@ def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: st
         words = _loaded[vocabulary]
         for batch in batches:
             out = []
-            for i in range(0, len(batch), 1000):
-                for ids in words.encode_batch([t or "" for t in batch.iloc[i : i + 1000]], end):
+            for i in range(0, len(batch), 4000):
+                for ids in words.encode_batch([t or "" for t in batch.iloc[i : i + 4000]], end):
                     out.append((len(ids) // 4, [zlib.crc32(ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)]))
             yield pd.DataFrame(out, columns=["n", "crcs"])
 
