@@ -245,6 +245,36 @@ def test_fuzzy_line_links_need_the_edit_distance(spark):
     assert got == {1: 0, 2: 1, 3: 0}
 
 
+def test_long_lines_are_alike_by_the_edits_between_anchors(spark):
+    """A bound that is never below the distance, and for long lines costs less than their characters."""
+    import random as rnd
+    import time
+
+    rng, table = rnd.Random(8), [("", "")]
+    for k in range(80):
+        a = prose(rng.randint(5, 40), 700 + k).split()
+        b = _edited(a, rng.choice([0.05, 0.15, 0.3]), rng)
+        if k % 8 == 0:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        table.append((" ".join(a), " ".join(b)))
+    told = F.struct(*[lines._let(F.split(c, " "), lambda w: lines.more_told(lines.told(w))).alias(c) for c in "ab"])
+    bound = lines._let(told, lambda v: lines.edits_of_gaps(v["a"], v["b"], F.lit(10**6)))
+    got = spark.createDataFrame(table, "a string, b string").select("a", "b", bound.alias("n"), lines.within_edits("a", "b").alias("ok")).collect()
+    exact = [(r.n, _distance(r.a, r.b)) for r in got if r.n is not None]
+    assert len(exact) > 60 and all(n >= d for n, d in exact) and sum(n == d for n, d in exact) > 40
+    assert all(_distance(r.a, r.b) * 100 <= lines.EDITS * max(len(r.a), len(r.b)) for r in got if r.ok)
+    a = [f"w{rng.randrange(10**6)}" for _ in range(2500)]
+    b = [w if k % 8 else f"v{k}" for k, w in enumerate(a)]
+    df = spark.createDataFrame([(" ".join(a), " ".join(b))], "a string, b string")
+    took = []
+    for ok in (F.call_function("levenshtein", "a", "b", (F.length("a") * lines.EDITS / 100).cast("int")) >= 0, lines.within_edits("a", "b")):
+        for _ in range(2):
+            began = time.time()
+            assert df.select(ok.alias("ok")).first().ok
+        took.append(time.time() - began)
+    assert took[1] < took[0] / 2, took
+
+
 def test_linked_groups_find_every_link_of_crowded_buckets(spark):
     """Hundreds of items in one bucket, in groups that only their contents tell apart, against a plain version."""
     from trackline.llm.common import linked_groups, materialise
