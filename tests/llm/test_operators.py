@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,6 +418,16 @@ def test_word_ids_learn_letters_and_marks_apart(monkeypatch):
     assert set(plain.stems) == {"house", "", ",", ".%%%", "$$$", "***"}
 
 
+def test_word_ids_take_bounded_slices(monkeypatch):
+    """A worker's memory follows a slice of some bytes, whatever number of long texts a batch holds."""
+    monkeypatch.setattr(packing, "SLICE", 1000)
+    texts = ["é" * 30, None, "word " * 500, "", "a b", "word " * 150, "word " * 60, "x" * 999, "y"]
+    got = [s.to_pylist() for s in packing.slices(pa.array(texts))]
+    assert sum(got, []) == [t or "" for t in texts] and len(got) == 3
+    assert all(sum(len(t.encode()) for t in s[:-1]) < 1000 for s in got)
+    assert list(packing.slices(pa.array([], pa.string()))) == []
+
+
 def test_crossover_improves_on_its_first_parent():
     """Where best-fit decreasing wastes sequences, two islands with elite migration need fewer."""
     for seed in range(3):

@@ -42,7 +42,9 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 #: Bins this full are closed before the last round.
 CLOSED = 0.995
 #: Words that a worker remembers with their ids, twice: those used lately, and those before.
-MEMORY = 400_000
+MEMORY = 200_000
+#: Bytes of texts that are encoded at once, but for a longer text.
+SLICE = 4_000_000
 #: Marks that end words: they make a piece of their own behind letters, whichever they are.
 MARKS = ".,;:!?\"#$%&()*+-/<=>@[\\]^_`{|}~"
 
@@ -81,13 +83,13 @@ class WordIds:
         self.stems: dict[str, bytes] = {}
         self.stems_before: dict[str, bytes] = {}
 
-    def encode_batch(self, texts: list[str], end: int = 0) -> list[bytes]:
-        if not texts:
+    def encode_batch(self, texts: list[str] | pa.Array, end: int = 0) -> list[bytes]:
+        if not len(texts):
             return []
         # What is remembered has no cycles; looking for them again and again would take a fifth of the time.
         gc.disable()
         # Arrow numbers the different words, so that Python sees each of them once and numpy lays out their ids.
-        rows = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        rows = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string()), "\n", " "), " ")
         numbered = rows.values.dictionary_encode()
         different = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.now) > MEMORY:
@@ -146,20 +148,34 @@ class WordIds:
 _loaded: dict[str, WordIds] = {}
 
 
+def slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """The texts, null ones empty, in slices that end with the text that fills SLICE; memory follows these, not batches."""
+    texts = pc.fill_null(texts, "")
+    filled = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        to = int(np.searchsorted(filled, (filled[at - 1] if at else 0) + SLICE)) + 1
+        yield texts[at:to]
+        at = to
+        # Arrow would keep what a slice took, in each worker.
+        pa.default_memory_pool().release_unused()
+
+
 def pieces_of(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end: int = 0) -> DataFrame:
     """pid, doc_id, piece, start, length, ids_crc32: the pieces of each document, in a table."""
 
-    @F.pandas_udf("n long, crcs array<long>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("n long, crcs array<long>")
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if vocabulary not in _loaded:
             _loaded[vocabulary] = WordIds(vocabulary)
         words = _loaded[vocabulary]
         for batch in batches:
-            out = []
-            for i in range(0, len(batch), 4000):
-                for ids in words.encode_batch([t or "" for t in batch.iloc[i : i + 4000]], end):
-                    out.append((len(ids) // 4, [zlib.crc32(ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)]))
-            yield pd.DataFrame(out, columns=["n", "crcs"])
+            n, crcs = [], []
+            for some in slices(batch):
+                for ids in words.encode_batch(some, end):
+                    n.append(len(ids) // 4)
+                    crcs.append([zlib.crc32(ids[k : k + 4 * capacity]) for k in range(0, len(ids), 4 * capacity)])
+            yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], ["n", "crcs"])
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), cut(F.col(text).cast("string")).alias("t"))
     rows = rows.select("doc_id", F.col("t.n").alias("n"), F.posexplode("t.crcs").alias("piece", "ids_crc32"))
