@@ -234,6 +234,27 @@ def test_simhash_is_the_majority_of_the_weighed_words(spark):
         assert r.s & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * ones[b] >= len(r.h))
 
 
+def test_simhash_counts_all_votes_at_once(spark):
+    def one_by_one(words):
+        made_up = F.array(*[F.lit(-(k % 2)).cast("long") for k in range(1, lines.WEIGHED)])
+        votes = F.concat(F.transform(words, lambda h: F.xxhash64(h)), F.slice(made_up, F.lit(1), F.lit(lines.WEIGHED) - F.size(words)))
+
+        def count(a, carry):
+            digits = []
+            for k in range(4):
+                digits.append(a[f"p{k}"].bitwiseXOR(carry).alias(f"p{k}"))
+                carry = carry.bitwiseAND(a[f"p{k}"])
+            return F.struct(*digits)
+
+        return F.aggregate(votes, F.struct(*[F.lit(0).cast("long").alias(f"p{k}") for k in range(4)]), count, lambda a: a["p3"])
+
+    words = F.transform(F.sequence(F.lit(1), (F.col("id") % lines.WEIGHED + 1).cast("int")), lambda k: F.xxhash64("id", k))
+    df = spark.range(0, 20000, 1, 1).select(words.alias("w"))
+    assert df.filter(lines.simhash(F.col("w")).eqNullSafe(one_by_one(F.col("w")))).count() == 20000
+    plan = lambda code: df.select(code(F.col("w")))._jdf.queryExecution().toString()
+    assert "aggregate(" in plan(one_by_one) and "aggregate(" not in plan(lines.simhash)
+
+
 def test_fuzzy_line_links_need_the_edit_distance(spark):
     words = prose(60, 11).split()
     near, far = list(words), list(words)
