@@ -297,6 +297,26 @@ def test_long_lines_are_alike_by_the_edits_between_anchors(spark):
     assert took[1] < took[0] / 2, took
 
 
+def test_bounds_tell_lines_with_moved_or_repeated_words(spark):
+    """Two words that changed places leave the other anchors, and a long line that repeats itself is told by its parts."""
+    a = [f"word{k}x" for k in range(60)]
+    moved = [*a[:20], a[21], a[20], *a[22:40], "other", *a[41:]]
+    once = [f"z{k}" for k in range(12)]
+    period = [" ".join(["start", *once[:8], *(["end", *once[9:]] if drop else once[8:])]) for drop in (False, True)]
+    table = [(" ".join(a), " ".join(moved)), *[(" ".join([period[0]] * n), " ".join([period[1]] * n)) for n in (3, 12)]]
+    table += [(prose(80, 31), prose(90, 32)), ("", "abc"), ("a b", "")]
+    df = spark.createDataFrame(table, "a string, b string")
+    told = F.struct(*[lines._let(F.split(c, " "), lambda w: lines.more_told(lines.told(w))).alias(c) for c in "ab"])
+    bound = lines._let(told, lambda v: lines.edits_of_gaps(v["a"], v["b"], F.lit(10**6)))
+    got = df.select("a", "b", bound.alias("gaps"), lines.edits_of_parts(F.col("a"), F.col("b"), F.lit(10**6)).alias("parts"), lines.within_edits("a", "b").alias("ok")).collect()
+    for r in got:
+        d = _distance(r.a, r.b)
+        assert r.parts >= d and (r.gaps is None or r.gaps >= d)
+        assert r.ok == (bool(set(r.a.split()) & set(r.b.split())) and d * 100 <= lines.EDITS * max(len(r.a), len(r.b)))
+    assert got[0].gaps is not None and got[0].gaps * 100 <= lines.EDITS * len(got[0].a)
+    assert all(r.gaps is None and r.parts * 100 <= lines.EDITS * len(r.a) for r in got[1:3])
+
+
 def test_linked_groups_find_every_link_of_crowded_buckets(spark):
     """Hundreds of items in one bucket, in groups that only their contents tell apart, against a plain version."""
     from trackline.llm.common import linked_groups, materialise
