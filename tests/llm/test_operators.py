@@ -317,6 +317,41 @@ def test_bounds_tell_lines_with_moved_or_repeated_words(spark):
     assert all(r.gaps is None and r.parts * 100 <= lines.EDITS * len(r.a) for r in got[1:3])
 
 
+def test_sketches_tell_only_lines_that_share_too_few_words(spark):
+    import random as rnd
+
+    rng, table = rnd.Random(3), [("a b", "a b"), ("a a a b", "b c"), ("", "a")]
+    for k in range(300):
+        n = rng.choice([5, 20, 60, 400])
+        a = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        table.append((" ".join(a), " ".join(w if rng.random() < k / 300 else f"v{rng.randrange(10**6)}" for w in a)))
+    df = spark.createDataFrame(table, "a string, b string")
+    got = df.select("a", "b", lines.sketch(F.col("a")).alias("x"), lines.sketch(F.col("b")).alias("y")).select("a", "b", lines.may_share("x", "y").alias("may"), lines.may_share("y", "x").alias("turned")).collect()
+    enough = lambda a, b: len(a & b) * 100 >= max(len(a), len(b)) * lines.COMMON
+    few = [r for r in got if not enough(set(r.a.split(" ")), set(r.b.split(" ")))]
+    assert all(r.may == r.turned and (r.may or r in few) for r in got)
+    assert len(few) > 100 and sum(not r.may for r in few) > len(few) / 2
+
+
+def test_last_join_asks_only_for_likely_pairs(spark):
+    """Unlike items of one bucket whose sketches tell them apart, but for one pair."""
+    from trackline.llm.common import linked_groups, materialise
+
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def alike(a, b):
+        asked.add(1)
+        return a == 28 and b == 29
+
+    items = materialise(spark.createDataFrame([(i, (0,), [1]) for i in range(30)], "item long, sig struct<s: int>, buckets array<long>"), "likely")
+    near = lambda x, y: F.expr(f"{x}.s = {y}.s")
+    full = lambda d: d.select("item", F.col("item").alias("full"), F.least("item", F.lit(28)).alias("sketch"))
+    likely = lambda x, y: F.col(x) == F.col(y)
+    got = {r.node: r.component for r in linked_groups(items, near, full, alike, "likely", likely).collect()}
+    assert got == {28: 28, 29: 28} and asked.value < 100
+
+
 def test_linked_groups_find_every_link_of_crowded_buckets(spark):
     """Hundreds of items in one bucket, in groups that only their contents tell apart, against a plain version."""
     from trackline.llm.common import linked_groups, materialise
