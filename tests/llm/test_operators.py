@@ -543,6 +543,20 @@ def test_packing_over_several_blocks(spark):
     assert got["sequence_id"].nunique() <= -(-sum(sizes) // 2048) + 2
 
 
+def test_open_bins_of_all_blocks_meet_where_no_bin_can_be_full(spark):
+    """Pieces of 1100 and 900 fill 2000 of 2048; no block has as many of one as of the other."""
+    r = random.Random(6)
+    sizes = [r.choice([1100, 900]) for _ in range(1000)]
+    df = spark.createDataFrame(list(enumerate(sizes)), "pid long, length long")
+    got = packing.pack(df, block=40).toPandas()
+    assert sorted(got["length"]) == sorted(sizes) and got["pid"].nunique() == 1000
+    assert got.groupby("sequence_id")["length"].sum().max() <= 2048
+    ones = sizes.count(1100)
+    assert got["sequence_id"].nunique() <= max(ones, -(-1000 // 2)) + 3
+    alike = spark.range(300).select(F.col("id").alias("pid"), F.lit(1500).cast("long").alias("length"))
+    assert packing.pack(alike, block=40).select("sequence_id").distinct().count() == 300
+
+
 def test_crossover_keeps_every_piece():
     r = np.random.default_rng(2)
     sizes = sorted((int(x) for x in r.integers(1, 1500, 200)), reverse=True)

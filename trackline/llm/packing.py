@@ -41,6 +41,9 @@ BLOCK = 4096
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 8
 #: Bins this full are closed before the last round.
 CLOSED = 0.995
+#: Sequences' numbers begin with their round's, and those of full pieces with this one. As each round closes half of the
+#: pieces, one block is left long before.
+WHOLE = 127
 #: Words that a worker remembers with their ids, twice: those used lately, and those before.
 MEMORY = 200_000
 #: Bytes of texts that are encoded at once, but for a longer text.
@@ -297,23 +300,27 @@ def _packing(blocks: DataFrame, capacity: int) -> DataFrame:
     return rows.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long")).withColumn("fill", F.sum("length").over(inside))
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, rounds: int = 5) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> DataFrame:
     """Add sequence_id and offset to the pieces (pid, length, ...)."""
-    whole = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(7 << 56).bitwiseOR(F.col("pid")), "offset": F.lit(0).cast("long")})
+    from pyspark.sql import Window
+
+    whole = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": F.lit(WHOLE << 56).bitwiseOR(F.col("pid")), "offset": F.lit(0).cast("long")})
     short = pieces.filter(F.col("length") < capacity)
     left = short.select("pid", F.col("length").cast("int").alias("length"))
     done = None
-    for k in range(rounds):
+    for k in range(WHOLE):
         n = left.count()
         blocks = max(1, math.ceil(n / block))
         rows = left.groupBy(F.pmod(F.xxhash64(F.lit(k), "pid"), F.lit(blocks)).cast("long").alias("block")).agg(F.sort_array(F.collect_list(F.struct("length", "pid")), asc=False).alias("items"))
         found = materialise(_packing(materialise(rows, "packing-blocks"), capacity), "packing-round")
-        last = blocks == 1 or k == rounds - 1
-        closed = found if last else found.filter(F.col("fill") >= CLOSED * capacity)
+        last = blocks == 1 or k == WHOLE - 1
+        # Where few bins can be nearly full, those that are fuller than others are, so half of the pieces at least.
+        middle = F.median("fill").over(Window.partitionBy("block"))
+        found = found.withColumn("closed", F.lit(last) | (F.col("fill") >= F.least(F.lit(CLOSED * capacity), middle)))
         number = F.lit(k << 56).bitwiseOR(F.shiftleft("block", 24)).bitwiseOR(F.col("bin").cast("long"))
-        closed = closed.select("pid", number.alias("sequence_id"), "offset")
+        closed = found.filter("closed").select("pid", number.alias("sequence_id"), "offset")
         done = closed if done is None else done.union(closed)
         if last:
             break
-        left = found.filter(F.col("fill") < CLOSED * capacity).select("pid", "length")
+        left = materialise(found.filter("NOT closed").select("pid", "length"), "packing-left")
     return short.join(done, "pid").select(*whole.columns).union(whole)
